@@ -172,7 +172,7 @@ def run_incremental(store: Store, records: DataFrame, key: str, content: list[st
 
 
 #: Characters that count as trailing white space of a text; no-break spaces and the byte order mark are among them.
-WHITE_SPACE = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85                 　﻿"
+WHITE_SPACE = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def carried_through(resource_text: DataFrame, chunk: DataFrame) -> DataFrame:
