@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import lines, pages, pieces, tokens
+from corpusloom.llm import boilerplate, lines, pages, pieces, residue, tokens
 from corpusloom.session import table
 
 
@@ -10,6 +10,44 @@ def _texts(spark, folder, kind=None):
     return pages.ok_texts(table(spark, folder, "resource"), table(spark, folder, "resource_text"), kind)
 
 
+def _judged(spark, folder, kind):
+    """The documents, the sites' frames and the index of residue exemplars."""
+    found = _texts(spark, folder, kind)
+    model = boilerplate.site_model(found.where("kind = 'page'"), table(spark, folder, "resource").where("kind = 'page'"))
+    return found, model, residue.Index(*residue.document_frequencies(found))
+
+
+def p2_found(spark, folder):
+    found, model, index = _judged(spark, folder, "page")
+
+    def emit(resource, kind, parts, frame):
+        if residue.judge(index, parts, frame)[1]:
+            return []
+        return [(resource, n) for n, hit in enumerate(frame) if hit]
+
+    return boilerplate.scan(found, model, emit, "resource_id string, line_no int")
+
+
+def p2_articles(spark, folder):
+    found, model, index = _judged(spark, folder, "page")
+
+    def emit(resource, kind, parts, frame):
+        if residue.judge(index, parts, frame)[1]:
+            return [(resource, "")]
+        return [(resource, "\n".join(x for x, hit in zip(parts, frame, strict=True) if not hit).strip())]
+
+    return boilerplate.scan(found, model, emit, "resource_id string, text string")
+
+
+def p4_found(spark, folder):
+    found, model, index = _judged(spark, folder, None)
+
+    def emit(resource, kind, parts, frame):
+        return [(resource,)] if residue.judge(index, parts, frame)[0] else []
+
+    return boilerplate.scan(found, model, emit, "resource_id string")
+
+
 def p3_found(spark, folder):
     return pieces.window_pieces(table(spark, folder, "resource_text"))
 
@@ -33,7 +71,7 @@ def p8_ids(spark, folder):
 
 
 def queries():
-    return {f.__name__: f for f in (p3_found, p3_content_pieces, p5_found, p5_cleaned, p8_ids)}
+    return {f.__name__: f for f in (p2_found, p2_articles, p3_found, p3_content_pieces, p4_found, p5_found, p5_cleaned, p8_ids)}
 
 
 _SPACE = r"[\s\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
