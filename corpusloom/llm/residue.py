@@ -35,13 +35,15 @@ PLACEHOLDERS = """
 ⟦brackets⟧
 ⟦underscores⟧
 ⟦crosses⟧
-resolution no ⟦angle⟧ of ⟦angle⟧ offered by ⟦angle⟧
+⟦angle⟧ of ⟦angle⟧ offered by ⟦angle⟧
 dear ⟦angle⟧ your request was received
 ⟦guillemets⟧
-your heading goes here click here to edit this block of text
+your heading goes here
+click here to edit this block of text
 click here to edit this text
-image caption placeholder replace this text before publishing
-placeholder text replace before publishing
+image caption placeholder
+replace this text before publishing
+placeholder text
 enter a short description of the service here
 insert text here
 your text here
