@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import boilerplate, lines, pages, pieces, residue, tokens
+from corpusloom.llm import boilerplate, lines, pages, pieces, residue, scans, tokens
 from corpusloom.session import table
 
 
@@ -66,12 +66,20 @@ def p5_cleaned(spark, folder):
     return lines.without_repeated(found, lines.repeated_lines(found))
 
 
+def p7_found(spark, folder):
+    return scans.diagnose(_texts(spark, folder, "document"))[0]
+
+
+def p7_paragraphs(spark, folder):
+    return scans.paragraphs(_texts(spark, folder, "document"))
+
+
 def p8_ids(spark, folder):
     return tokens.token_ids(table(spark, folder, "documents"), "doc_id", "text")
 
 
 def queries():
-    return {f.__name__: f for f in (p2_found, p2_articles, p3_found, p3_content_pieces, p4_found, p5_found, p5_cleaned, p8_ids)}
+    return {f.__name__: f for f in (p2_found, p2_articles, p3_found, p3_content_pieces, p4_found, p5_found, p5_cleaned, p7_found, p7_paragraphs, p8_ids)}
 
 
 _SPACE = r"[\s\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
