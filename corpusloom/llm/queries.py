@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import boilerplate, lines, pages, pieces, residue, scans, tokens
+from corpusloom.llm import boilerplate, lines, packing, pages, pieces, reading, residue, scans, tokens, vectors
 from corpusloom.session import table
 
 
@@ -66,6 +66,10 @@ def p5_cleaned(spark, folder):
     return lines.without_repeated(found, lines.repeated_lines(found))
 
 
+def p6_found(spark, folder):
+    return vectors.similar(table(spark, folder, "chunk").select("id", "embedder", "embedding"))
+
+
 def p7_found(spark, folder):
     return scans.diagnose(_texts(spark, folder, "document"))[0]
 
@@ -78,8 +82,21 @@ def p8_ids(spark, folder):
     return tokens.token_ids(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p9_containers(spark, folder):
+    return packing.pack(packing.items(table(spark, folder, "documents")))
+
+
+def p10_levels(spark, folder):
+    documents = table(spark, folder, "documents")
+    return reading.score(documents, *reading.fit(documents, table(spark, folder, "reading_label")))
+
+
+def p10_found(spark, folder):
+    return p10_levels(spark, folder).where("demanding").select("doc_id").distinct()
+
+
 def queries():
-    return {f.__name__: f for f in (p2_found, p2_articles, p3_found, p3_content_pieces, p4_found, p5_found, p5_cleaned, p7_found, p7_paragraphs, p8_ids)}
+    return {f.__name__: f for f in (p2_found, p2_articles, p3_found, p3_content_pieces, p4_found, p5_found, p5_cleaned, p6_found, p7_found, p7_paragraphs, p8_ids, p9_containers, p10_found, p10_levels)}
 
 
 _SPACE = r"[\s\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"

@@ -28,7 +28,7 @@ RATIO, SIGN_RATIO, LEAST_COUNT = 8.0, 1.5, 3
 # True characters and what scanners read for them.
 CONFUSIONS = [
     ("e", "c"), ("t", "f"), ("o", "0"), ("i", "|"), ("l", "|"), ("n", "ri"), ("s", "5"), ("l", "1"), ("i", "1"), ("u", "ii"), ("d", "cl"),
-    ("m", "rn"), ("m", "nn"), ("g", "9"), ("h", "b"), ("h", "li"), ("b", "6"), ("b", "8"), ("w", "vv"), ("z", "2"), ("rn", "m"), ("cl", "d"),
+    ("m", "rn"), ("m", "nn"), ("n", "r|"), ("u", "|i"), ("u", "i|"), ("ti", "ﬁ"), ("g", "9"), ("h", "b"), ("h", "li"), ("b", "6"), ("b", "8"), ("w", "vv"), ("z", "2"), ("rn", "m"), ("cl", "d"),
     ("fi", "ﬁ"), ("fl", "ﬂ"), ("ff", "ﬀ"), ("ffi", "ﬃ"), ("ffl", "ﬄ"),
 ]
 
@@ -201,16 +201,24 @@ def diagnose(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     words = materialize(tokens.where(F.col("kind") == "word").groupBy("word").agg(F.count("*").alias("n")))
     compounds = tokens.where(F.col("kind") == "compound").groupBy(F.col("word").alias("other")).agg(F.count("*").alias("n_hyphen"))
     cuts = tokens.where(F.col("kind") == "cut").select("resource_id", "line_no", "word", "other", "left", "next_line")
-    joined = cuts.select("word").distinct().join(words, "word", "left_anti").select("word", F.lit(0).cast("bigint").alias("n"))
+    halves = cuts.select("word", F.substring_index("other", "-", 1).alias("a"), F.substring_index("other", "-", -1).alias("b"))
+    joined = halves.select(F.explode(F.array("word", "a", "b")).alias("word")).distinct().join(words, "word", "left_anti").select("word", F.lit(0).cast("bigint").alias("n"))
     right = maybe_broadcast(materialize(corrections(words.unionByName(joined))))
 
-    judged = cuts.join(words.select("word", F.col("n").alias("n_joined")), "word", "left").join(right.select("word", "target", F.col("n").alias("n_target")), "word", "left").join(compounds, "other", "left")
+    judged = cuts.withColumn("a", F.substring_index("other", "-", 1)).withColumn("b", F.substring_index("other", "-", -1))
+    for half in ("a", "b"):
+        judged = judged.join(right.select(F.col("word").alias(half), F.col("target").alias(f"{half}_target")), half, "left")
+    judged = judged.withColumn("spelled", F.concat_ws("-", F.coalesce("a_target", "a"), F.coalesce("b_target", "b")))
+    judged = judged.join(words.select("word", F.col("n").alias("n_joined")), "word", "left").join(right.select("word", "target", F.col("n").alias("n_target")), "word", "left").join(compounds.withColumnRenamed("other", "spelled"), "spelled", "left")
     whole = F.greatest(F.coalesce("n_joined", F.lit(0)), F.coalesce("n_target", F.lit(0)))
     tail = F.substring_index("other", "-", -1)
     split = F.when(F.col("n_hyphen").isNotNull(), whole > F.col("n_hyphen")).otherwise((whole > 0) | ~tail.isin("and", "or", "to"))
-    judged = materialize(judged.where(split).select("resource_id", "line_no", "word", "other", "target", "left", "next_line"))
+    judged = materialize(judged.select("resource_id", "line_no", "word", "other", "target", "left", "next_line", F.coalesce(split, F.lit(False)).alias("split")))
+    kept_halves = [judged.where(~F.col("split")).select("resource_id", F.col(at).alias("line_no"), F.substring_index("other", "-", part).alias("word")) for at, part in (("line_no", 1), ("next_line", -1))]
+    judged = judged.where("split")
 
-    plain = tokens.where(F.col("kind") == "word").select("resource_id", "line_no", "word").join(right.select("word", "target"), "word").select("resource_id", "line_no", F.lit("char").alias("fault"), "word", "target", F.lit(0).alias("left"), F.lit(-1).alias("next_line"))
+    whole_words = tokens.where(F.col("kind") == "word").select("resource_id", "line_no", "word")
+    plain = whole_words.unionByName(kept_halves[0]).unionByName(kept_halves[1]).join(right.select("word", "target"), "word").select("resource_id", "line_no", F.lit("char").alias("fault"), "word", "target", F.lit(0).alias("left"), F.lit(-1).alias("next_line"))
     kept = F.expr("left(word, `left`) = left(target, `left`)")
     at_cut = judged.where(F.col("target").isNotNull()).select("resource_id", F.when(kept, F.col("next_line")).otherwise(F.col("line_no")).alias("line_no"), F.lit("char").alias("fault"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("target"), F.lit(0).alias("left"), F.lit(-1).alias("next_line"))
     hyphens = judged.select("resource_id", "line_no", F.lit("hyphen").alias("fault"), "word", "target", "left", "next_line")
