@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.config import DOCUMENT_TYPES
 from corpusloom.functions.text import clean_python
@@ -77,7 +78,7 @@ def without_blocks(html: str, opening: str = SLIDES) -> str:
     return "".join(out) + html[at:]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without_slides(html: pd.Series) -> pd.Series:
     return html.map(lambda h: without_blocks(h) if isinstance(h, str) else None)
 
@@ -134,7 +135,7 @@ def html_text(html: str | None) -> tuple[str, str]:
     return clean_python("\n".join(t for t, _ in kept)), "body"
 
 
-@F.pandas_udf("text string, extractor string, status string")
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("text", "extractor", "status")]))
 def extract_html(html: pd.Series) -> pd.DataFrame:
     rows = [html_text(h if isinstance(h, str) else None) for h in html]
     return pd.DataFrame([(t, e, "ok" if re.search(r"[^\W_]", t) else "empty") for t, e in rows], columns=["text", "extractor", "status"])

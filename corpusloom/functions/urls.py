@@ -9,6 +9,7 @@ from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.config import DEFAULT, SKIP_PATTERNS, TRACKING_PREFIXES
 
@@ -61,12 +62,12 @@ def canonical(raw: str | None, base: str | None = None) -> str | None:
     return f"{scheme}://{host}{path}" + (f"?{urlencode(pairs, safe='*')}" if pairs else "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize(url: pd.Series) -> pd.Series:
     return url.map(lambda u: canonical(u) if isinstance(u, str) else None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_against(url: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([canonical(u, b) if isinstance(u, str) else None for u, b in zip(url, base, strict=True)])
 

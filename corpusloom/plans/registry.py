@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import incremental
+from corpusloom.plans import dashboard, incremental, pipeline, retrieval, streams
+from corpusloom.plans.sqltext import floored
 
-MODULES = [incremental]
+MODULES = [incremental, dashboard, pipeline, retrieval, streams]
 
 
 def queries() -> dict:
@@ -12,4 +13,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {name: sql for module in MODULES for name, sql in module.oracle_sql().items()}
+    return {name: floored(sql) for module in MODULES for name, sql in module.oracle_sql().items()}
