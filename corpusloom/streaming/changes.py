@@ -12,8 +12,12 @@ from corpusloom.schemas import SCHEMAS
 
 
 def stream_table(spark: SparkSession, path: str, name: str, files: int = DEFAULT.tick_files) -> DataFrame:
-    """A table as a stream, ``files`` files a micro-batch."""
-    return spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", files).parquet(path)
+    """A table as a stream, ``files`` files a micro-batch; ``path`` is a folder of files or one file."""
+    reader = spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", files)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+    return reader.parquet(path)
 
 
 def append_changes(stream: DataFrame, log: str, checkpoint: str) -> None:
