@@ -142,13 +142,17 @@ def _recurs(count, texts):
 def site_model(documents: DataFrame, titles: DataFrame) -> DataFrame:
     """Rows (host, leaves, shapes, sure): a host's frame leaves and entry shapes, by hash.
 
-    ``documents`` has (resource_id, host, text) and ``titles`` (title). A host has at most 1 / SHARE times its mean
+    ``documents`` has (resource_id, host, text) and ``titles`` (host, title). A line counts only beyond the pages of
+    the host that have it as title. A host has at most 1 / SHARE times its mean
     number of lines as frame leaves, whatever its size; copies of one text count once.
     """
     counted, sizes = _element_table(documents)
     counted = materialize(counted)
     sizes = materialize(sizes)
-    leaves = materialize(counted.groupBy("host", "leaf").agg(F.sum("n").alias("n")))
+    named = materialize(_title_forms(titles))
+    own_titles = named.where(F.col("host").isNotNull()).groupBy("host", "leaf").agg(F.count("*").alias("titles"))
+    leaves = counted.groupBy("host", "leaf").agg(F.sum("n").alias("n")).join(own_titles, ["host", "leaf"], "left")
+    leaves = materialize(leaves.select("host", "leaf", (F.col("n") - F.coalesce("titles", F.lit(0))).alias("n")).where("n > 0"))
     whole = sizes.agg(F.sum("texts").alias("texts")).first()["texts"] or 0
     expected = whole * SHARE
     everywhere = leaves.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("hosts")).where((F.col("n") >= max(LEAST, expected + 2 * math.sqrt(expected))) & (F.col("hosts") > 1)).select("leaf")
@@ -156,7 +160,9 @@ def site_model(documents: DataFrame, titles: DataFrame) -> DataFrame:
     frame = materialize(own.unionByName(leaves.join(everywhere, "leaf", "left_semi").select("host", "leaf")).distinct())
     few = maybe_broadcast(frame)
 
-    titled = materialize(_title_shapes(titles))
+    shaped = named.groupBy("shape").agg(F.count("*").alias("n"))
+    total = named.count()
+    titled = materialize(shaped.where(F.col("n") >= TITLE_SHARE * total).select("shape"))
     shapes = counted.where(F.col("shape").isNotNull()).join(few, ["host", "leaf"], "left_anti")
     below = few.select("host", F.col("leaf").alias("above"), F.lit(1).alias("below"))
     shapes = shapes.join(below, ["host", "above"], "left").groupBy("host", "shape").agg(F.sum("n").alias("n"), F.sum(F.when((F.col("below") == 1) | (F.col("above") == 0), F.col("n")).otherwise(0)).alias("first"))
@@ -168,17 +174,16 @@ def site_model(documents: DataFrame, titles: DataFrame) -> DataFrame:
     return materialize(frame.groupBy("host").agg(F.collect_set("leaf").alias("leaves")).join(entries, "host", "left"))
 
 
-def _title_shapes(titles: DataFrame) -> DataFrame:
-    """Rows (shape): hashes of the shapes that at least TITLE_SHARE of the titles have."""
+def _title_forms(titles: DataFrame) -> DataFrame:
+    """Rows (host, leaf, shape): the hashes that each title would have as a line of its host."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sites: dict[str, _Site] = {}
         for batch in batches:
-            yield pd.DataFrame({"shape": [_hash(shape(t)) for t in batch["title"]]})
+            forms = [" ".join(leaf_forms(t.replace("\n", " "), sites.setdefault(h or "", _Site(h or "")))) for h, t in zip(batch["host"], batch["title"], strict=True)]
+            yield pd.DataFrame({"host": batch["host"], "leaf": [_hash(f) for f in forms], "shape": [_hash(shape(t)) for t in batch["title"]]})
 
-    shapes = titles.where(F.col("title").isNotNull()).select("title").mapInPandas(run, "shape bigint")
-    counts = materialize(shapes.groupBy("shape").agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    return counts.where(F.col("n") >= TITLE_SHARE * total).select("shape")
+    return titles.where(F.col("title").isNotNull()).select("host", "title").mapInPandas(run, "host string, leaf bigint, shape bigint")
 
 
 def frame_lines(text: str, site: _Site, leaves: frozenset[int], shapes: frozenset[int], sure: frozenset[int]) -> list[bool]:

@@ -163,7 +163,10 @@ def _cut(found: pd.DataFrame) -> float:
 
 
 def score(documents: DataFrame, difficulty: dict[str, float], cut: float) -> DataFrame:
-    """Rows (doc_id, difficulty, demanding) of each English document with enough known words; narrow, all of them."""
+    """Rows (doc_id, difficulty, demanding) of each English document with enough known words.
+
+    All documents are scored where they lie; only the short results of repeated deliveries are dropped by a shuffle.
+    """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(difficulty)
 
@@ -180,4 +183,4 @@ def score(documents: DataFrame, difficulty: dict[str, float], cut: float) -> Dat
             yield pd.DataFrame(rows, columns=["doc_id", "difficulty", "demanding"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "lang", "text").mapInPandas(run, f"doc_id {kind}, difficulty double, demanding boolean")
+    return documents.select("doc_id", "lang", "text").mapInPandas(run, f"doc_id {kind}, difficulty double, demanding boolean").distinct()

@@ -39,7 +39,7 @@ _ODD = re.compile(r"[|0-9ﬀ-ﬄ]")
 _CUT = re.compile(r"([^\W_](?:[^\W_]|[|])*)[-­‐]\s*$")
 _START = re.compile(r"\s*((?:[^\W_]|[|])+)")
 _ROMAN = r"(?=[ivxlcdm])m{0,3}(?:c[md]|d?c{0,3})(?:x[cl]|l?x{0,3})(?:i[xv]|v?i{0,3})"
-_PAGE_NUMBER = re.compile(rf"[\W_]{{0,3}}(?:(?:page|pg|p)\b\.?\s*)?(?:[0-9]{{1,4}}|{_ROMAN})(?:\s*(?:of|/)\s*[0-9]{{1,4}})?[\s\])}}–—_-]*", re.I)
+_PAGE_NUMBER = re.compile(rf"[\s\[({{<*~_–—-]{{0,3}}(?:(?:page|pg|p)\b\.?\s*)?(?:[0-9]{{1,4}}|{_ROMAN})(?:\s*(?:of|/)\s*[0-9]{{1,4}})?[\s\])}}–—_-]*", re.I)
 
 
 def is_page_number(line: str) -> bool:
@@ -115,7 +115,7 @@ def _tokens(documents: DataFrame, running: DataFrame) -> DataFrame:
                     elif line.strip():
                         body.append(n)
                 started = 0
-                for n, after in zip(body, [*body[1:], -1], strict=True):
+                for n, after in zip(body, [*body[1:], -1][: len(body)], strict=True):
                     line = lines[n][started:]
                     started = 0
                     cut = _CUT.search(line)
