@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +34,30 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of ``spark``, once an application: a zip in the shared folder."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    _SHIPPED.add(application)
+    root = Path(__file__).resolve().parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent).as_posix())
+    target = f"{shared_dir(spark)}/corpusloom/{uuid.uuid4().hex}/corpusloom.zip"
+    where = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = files.create(where, True)
+    stream.write(bytearray(held.getvalue()))
+    stream.close()
+    files.deleteOnExit(where)
+    spark.sparkContext.addPyFile(target)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
