@@ -77,8 +77,9 @@ class _Site(dict):
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_BLANKS = re.compile("(?:(?!\n)[\\s\ufeff])+")
-_DIGITS = re.compile("[0-9]+")
+_SPACE = "\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+_BLANKS = re.compile(f"[ {_SPACE}]{{2,}}|[{_SPACE}]")  # a single space is left as it is
+_DIGITS = re.compile("[0-9]{2,}|[1-9]")
 
 
 def leaf_forms(text: str, site: _Site) -> list[str]:

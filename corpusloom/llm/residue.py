@@ -207,11 +207,11 @@ class Index:
         self.unseen = math.log(1 + documents / 0.5)
         self.idf = {t: math.log(1 + documents / (0.5 + frequencies.get(t, 0))) for t in VOCABULARY}
         self.exemplars = [(label, frozenset(words), sum(self.idf[t] for t in set(words))) for label, words in EXEMPLARS]
-        self.postings: dict[str, list[int]] = defaultdict(list)
-        for k, (_, words, _) in enumerate(self.exemplars):
-            for t in words:
-                self.postings[t].append(k)
-        self.anchors = frozenset(t for k in range(len(self.exemplars)) for t in self._anchors(k))
+        self.anchored: dict[str, list[int]] = defaultdict(list)
+        for k in range(len(self.exemplars)):
+            for t in self._anchors(k):
+                self.anchored[t].append(k)
+        self.anchors = frozenset(self.anchored)
 
     def _anchors(self, k: int) -> Iterator[str]:
         """The heaviest terms of an exemplar, one of which every window that it matches has."""
@@ -227,22 +227,21 @@ class Index:
 
     def match(self, words: list[str]) -> str | None:
         """The label of an exemplar that a window of ``words`` matches; placeholders before filler before messages."""
-        held = VOCABULARY.intersection(words)
-        if not held:
+        met = self.anchors.intersection(words)
+        if not met:
             return None
-        shared: dict[int, float] = defaultdict(float)
-        for t in held:
-            for k in self.postings[t]:
-                shared[k] += self.idf[t]
-        distinct = {t for t in set(words) if not t.isdigit()}
-        weight = sum(self.idf.get(t, self.unseen) for t in distinct) or 1.0
+        distinct = {t for t in words if not t.isdigit()}
+        every = set(words)
         labels = set()
-        for k, both in shared.items():
+        for k in {k for t in met for k in self.anchored[t]}:
             label, exemplar, whole = self.exemplars[k]
+            shared = sum(self.idf[t] for t in exemplar & every)
             if label == "filler":
-                if len(words) >= 4 and len(held & exemplar) >= 2 and not self.anchors.isdisjoint(held & exemplar) and sum(self.idf[t] for t in distinct & exemplar) >= FILLED * weight:
-                    labels.add(label)
-            elif both >= CONTAINED * whole and (label == "placeholder" or len(words) <= 2 * len(exemplar) + 4):
+                if len(words) >= 4 and len(exemplar & every) >= 2:
+                    weight = sum(self.idf.get(t, self.unseen) for t in distinct)
+                    if sum(self.idf[t] for t in exemplar & distinct) >= FILLED * weight:
+                        labels.add(label)
+            elif shared >= CONTAINED * whole and (label == "placeholder" or len(words) <= 2 * len(exemplar) + 4):
                 labels.add(label)
         return next((x for x in ("placeholder", "filler", "message") if x in labels), None)
 
