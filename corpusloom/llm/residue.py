@@ -207,42 +207,42 @@ class Index:
         self.unseen = math.log(1 + documents / 0.5)
         self.idf = {t: math.log(1 + documents / (0.5 + frequencies.get(t, 0))) for t in VOCABULARY}
         self.exemplars = [(label, frozenset(words), sum(self.idf[t] for t in set(words))) for label, words in EXEMPLARS]
+        self.fillers = [words for label, words, _ in self.exemplars if label == "filler"]
         self.anchored: dict[str, list[int]] = defaultdict(list)
-        for k in range(len(self.exemplars)):
-            for t in self._anchors(k):
+        for k, (label, _, _) in enumerate(self.exemplars):
+            for t in self._anchors(k) if label != "filler" else ():
                 self.anchored[t].append(k)
         self.anchors = frozenset(self.anchored)
 
     def _anchors(self, k: int) -> Iterator[str]:
-        """The heaviest terms of an exemplar, one of which every window that it matches has."""
-        label, words, whole = self.exemplars[k]
+        """The heaviest terms of a placeholder or message, one of which every window that it matches has."""
+        _, words, whole = self.exemplars[k]
         ranked, left = sorted(words, key=lambda t: (-self.idf[t], t)), whole
         for t in ranked:
-            if label != "filler" and left < CONTAINED * whole:
-                return
-            if label == "filler" and self.idf[t] < 0.5 * self.unseen:
+            if left < CONTAINED * whole:
                 return
             left -= self.idf[t]
             yield t
 
+    def meets(self, words: list[str]) -> bool:
+        """Whether ``words`` can hold a match: an anchor, or two terms of a filler, which every filler passage has."""
+        return not self.anchors.isdisjoint(words) or any(len(f.intersection(words)) >= 2 for f in self.fillers)
+
     def match(self, words: list[str]) -> str | None:
         """The label of an exemplar that a window of ``words`` matches; placeholders before filler before messages."""
-        met = self.anchors.intersection(words)
-        if not met:
-            return None
-        distinct = {t for t in words if not t.isdigit()}
-        every = set(words)
         labels = set()
-        for k in {k for t in met for k in self.anchored[t]}:
+        every = set(words)
+        for k in {k for t in self.anchors & every for k in self.anchored[t]}:
             label, exemplar, whole = self.exemplars[k]
             shared = sum(self.idf[t] for t in exemplar & every)
-            if label == "filler":
-                if len(words) >= 4 and len(exemplar & every) >= 2:
-                    weight = sum(self.idf.get(t, self.unseen) for t in distinct)
-                    if sum(self.idf[t] for t in exemplar & distinct) >= FILLED * weight:
-                        labels.add(label)
-            elif shared >= CONTAINED * whole and (label == "placeholder" or len(words) <= 2 * len(exemplar) + 4):
+            if shared >= CONTAINED * whole and (label == "placeholder" or len(words) <= 2 * len(exemplar) + 4):
                 labels.add(label)
+        fillers = [f for f in self.fillers if len(f & every) >= 2] if len(words) >= 4 else []
+        if fillers:
+            distinct = {t for t in every if not t.isdigit()}
+            weight = sum(self.idf.get(t, self.unseen) for t in distinct)
+            if any(sum(self.idf[t] for t in f & distinct) >= FILLED * weight for f in fillers):
+                labels.add("filler")
         return next((x for x in ("placeholder", "filler", "message") if x in labels), None)
 
 
@@ -255,11 +255,11 @@ def judge(index: Index, lines: list[str], frame: list[bool]) -> tuple[bool, bool
     covered = other = 0
     for line, is_frame in zip(with_slots("\n".join(lines)).split("\n"), frame, strict=True):
         words = _TERM.findall(line)
-        if index.anchors.isdisjoint(words):
+        matched = [(window, index.match(window)) for window in windows(line)] if index.meets(words) else []
+        if not any(label for _, label in matched):
             other += 0 if is_frame else len(words)
             continue
-        for words in windows(line):
-            label = index.match(words)
+        for words, label in matched:
             if is_frame and label != "message":
                 continue
             placeholder |= label == "placeholder"

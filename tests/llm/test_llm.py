@@ -110,6 +110,15 @@ def test_residue(text, want):
     assert residue.judge(index, rows, [False] * len(rows))[0] is want
 
 
+@pytest.mark.parametrize("documents", [3_000, 300_000, 30_000_000])
+@pytest.mark.parametrize("text", ["Velit nisi ullamco dolor sit amet tempor.", "Lorem ipsum dolor sit amet, in sed do ut labore.", "Description of item 4"])
+def test_fillers_are_found_in_a_corpus_of_any_size(documents, text):
+    shares = dict.fromkeys(residue.terms(residue.FILLERS[0]), 0.005) | {"item": 0.003, "description": 0.01, "of": 0.8, "in": 0.8, "do": 0.3, "id": 0.05, "the": 0.9, "a": 0.9}
+    index = residue.Index(documents, {t: int(documents * share) for t, share in shares.items()})
+    assert residue.judge(index, [text, "The board met on Monday to talk about roads in the town."], [False, False]) == (True, False)
+    assert residue.judge(index, ["The board met in the mill to do a survey of roads.", "Proof of id in the hall."], [False, False]) == (False, False)
+
+
 def test_repeated_lines_equal_brute_force(spark, tmp_path):
     rng = random.Random(2)
     made = []
