@@ -1,11 +1,11 @@
 """The most similar vectors of every vector (problem 6): a hash-prefix forest, then exact cosines.
 
 Each of TREES trees gives a vector a string of DEPTH symbols; a symbol is the largest of WIDTH random projections in
-absolute value, with its sign, so that near vectors share symbols. Per tree, the strings lie in sorted arrays: vectors
-that share a prefix are neighbours. From the shortest prefix down, a group of at most GROUP vectors is compared in
-full; a larger one is descended into, and its vectors also meet those next to them in the sorted array, the longest
-common prefixes that ascending would reach first. Groups of the whole string are compared in full whatever their
-size. Comparisons are by sign sketches, and pairs that pass are checked exactly.
+absolute value, with its sign, so that near vectors share symbols. Vectors that share a string in a tree are one cell
+of it, and a cell is compared in full whatever its size: up to CELL vectors by sign sketches, and pairs that pass are
+checked exactly; a larger one in pairs of stripes, by the vectors themselves, of which each keeps its nearest in every
+pair of stripes. The nearest of all are among these, so a crowd loses nothing and gives no more pairs than it has to.
+The work grows with the square of a cell.
 
 Vectors equal up to length are one class with its least id as representative, so copies never meet in pairs.
 """
@@ -23,10 +23,9 @@ from pyspark.sql.window import Window
 
 from corpusloom.session import materialize, maybe_broadcast
 
-TREES, DEPTH, WIDTH, BITS = 16, 5, 32, 256
-LEAST_PREFIX, GROUP, BESIDE = 2, 64, 3
-#: Rows of one cell that a task takes; larger cells are divided by longer prefixes, then into pairs of stripes.
-CELL = 20_000
+TREES, DEPTH, WIDTH, BITS = 32, 2, 32, 256
+#: Most vectors of a cell that are compared by sketches; vectors in a stripe of a larger cell; rows of a block of it.
+CELL, STRIPE, BLOCK = 1_000, 20_000, 512
 NEIGHBOURS, LEAST_COSINE = 5, 0.8
 #: Sketches may differ in so many bits: the mean at LEAST_COSINE and three deviations.
 APART = int(BITS * (q := np.arccos(LEAST_COSINE) / np.pi) + 3 * np.sqrt(BITS * q * (1 - q)))
@@ -90,96 +89,105 @@ def index(vectors: DataFrame) -> DataFrame:
 
 
 def near_in_order(cells: np.ndarray, codes: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions that meet in their trees and whose sketches are near.
+    """Pairs of positions that have a cell and a string in common and whose sketches are near.
 
     ``cells`` numbers the trees' cells, ``codes`` are the strings, sorted within each cell.
     """
     n = len(cells)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def meet(left: np.ndarray, right: np.ndarray) -> None:
-        apart = np.bitwise_count(sketches[left] ^ sketches[right]).sum(1, dtype=np.int32)
-        near = apart <= APART
-        found.append((left[near], right[near]))
-
-    todo = np.arange(n)
-    for depth in range(LEAST_PREFIX, DEPTH + 1):
-        if not len(todo):
-            break
-        same = (cells[todo][1:] == cells[todo][:-1]) & (codes[todo][1:, :depth] == codes[todo][:-1, :depth]).all(1)
-        start = np.concatenate([[0], np.flatnonzero(~same) + 1])
-        size = np.diff(np.concatenate([start, [len(todo)]]))
-        after = np.repeat(start + size, size) - np.arange(len(todo)) - 1  # how many of its group follow each row
-        large = np.repeat(size > GROUP, size) if depth < DEPTH else np.zeros(len(todo), bool)
-        reach = np.where(large, np.minimum(after, BESIDE), after)
-        at, k = np.flatnonzero(reach > 0), 1
-        while len(at):
-            for block in range(0, len(at), 1 << 18):
-                here = at[block : block + (1 << 18)]
-                meet(todo[here], todo[here + k])
-            k += 1
-            at = at[reach[at] >= k]
-        todo = todo[large]
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    change = (cells[1:] != cells[:-1]) | (codes[1:] != codes[:-1]).any(1)
+    start = np.concatenate([[0], np.flatnonzero(change) + 1])
+    size = np.diff(np.concatenate([start, [n]]))
+    after = np.repeat(start + size, size) - np.arange(n) - 1  # how many of its group follow each row
+    at, k = np.flatnonzero(after > 0), 1
+    while len(at):
+        for block in range(0, len(at), 1 << 18):
+            left = at[block : block + (1 << 18)]
+            apart = np.bitwise_count(sketches[left] ^ sketches[left + k]).sum(1, dtype=np.int32)
+            left = left[apart <= APART]
+            found.append((left, left + k))
+        k += 1
+        at = at[after[at] >= k]
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Rows (a, b), a < b: keys of representatives that meet in a tree with near sketches; each pair once."""
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    strings = classes.select("embedder", "dim", "key", "sketch", "codes", trees).select("embedder", "dim", "tree", "key", "sketch", F.expr(f"substring(codes, tree * {DEPTH} + 1, {DEPTH})").alias("code"))
-    site = ["embedder", "dim", "tree", "cell"]
+def nearest_in_tile(data: np.ndarray, count: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions: each row of ``data`` with its ``count`` most similar rows of cosine ``least`` or more."""
+    data = data / np.abs(data).max(1, keepdims=True)
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    n, found = len(unit), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for first in range(0, n, BLOCK):
+        scores = unit[first : first + BLOCK] @ unit.T
+        scores[np.arange(len(scores)), first + np.arange(len(scores))] = -2
+        top = np.argpartition(scores, n - count, axis=1)[:, n - count :] if n > count else np.tile(np.arange(n), (len(scores), 1))
+        row, k = np.nonzero(np.take_along_axis(scores, top, 1) >= least - 1e-5)  # single precision; cosines() is exact
+        found.append((first + row, top[row, k]))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
-    def heavy(rows: DataFrame, prefix: int) -> DataFrame:
-        return rows.groupBy("embedder", "dim", "tree", F.substring("code", 1, prefix).alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > CELL)
 
-    first = maybe_broadcast(materialize(heavy(strings, LEAST_PREFIX)))
-    rows = strings.withColumn("cell", F.substring("code", 1, LEAST_PREFIX)).join(first, site, "left").withColumn("cell", F.when(F.col("n").isNull(), F.col("cell")).otherwise(F.substring("code", 1, DEPTH - 1))).drop("n")
-    second = maybe_broadcast(materialize(heavy(strings.join(first.select("embedder", "dim", "tree", F.col("cell").alias("short")), ["embedder", "dim", "tree"]).where(F.substring("code", 1, LEAST_PREFIX) == F.col("short")), DEPTH - 1)))
-    rows = rows.join(second, site, "left")
-    # A cell still too large: every pair of its stripes is one task's work.
-    stripes = F.ceil(F.col("n") / CELL).cast("int")
-    stripe = F.pmod("key", stripes).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), stripes - 1), lambda k: F.least(k, stripe) * 100_000 + F.greatest(k, stripe))
-    rows = rows.select("embedder", "dim", "tree", "cell", "key", "sketch", "code", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(-1))).otherwise(tiles)).alias("tile"))
-    placed = rows.repartition("embedder", "dim", "tree", "cell", "tile").sortWithinPartitions("embedder", "dim", "tree", "cell", "tile", "code", "key")
+def candidate_pairs(classes: DataFrame, vectors: DataFrame, neighbours: int = NEIGHBOURS, least: float = LEAST_COSINE) -> DataFrame:
+    """Rows (a, b), a < b: keys of representatives that may be near in a cell of a tree; each pair once."""
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    strings = classes.select("embedder", "dim", "key", "sketch", "codes", trees).select("embedder", "dim", "tree", "key", "sketch", F.expr(f"substring(codes, tree * {DEPTH} + 1, {DEPTH})").alias("cell"))
+    site = ["embedder", "dim", "tree", "cell"]
+    crowded = maybe_broadcast(materialize(strings.groupBy(*site).agg(F.count("*").alias("n")).where(F.col("n") > CELL)))
+    rows = strings.withColumns({"tile": F.lit(-1), "embedding": F.lit(None).cast("array<float>")})
+    if not crowded.isEmpty():
+        # Every pair of stripes of a crowded cell is one task's work, with the vectors.
+        stripes = F.ceil(F.col("n") / STRIPE).cast("int")
+        stripe = F.pmod("key", stripes).cast("int")
+        tiles = F.transform(F.sequence(F.lit(0), stripes - 1), lambda k: F.least(k, stripe) * 100_000 + F.greatest(k, stripe))
+        hot = strings.join(crowded, site).select(*site, "key", F.lit(None).cast("binary").alias("sketch"), F.explode(tiles).alias("tile"))
+        own = vectors.select(F.xxhash64("id").alias("key"), F.size("embedding").alias("dim"), F.col("embedding").cast("array<float>").alias("embedding"))
+        own = own.join(hot.select("key", "dim").distinct(), ["key", "dim"], "left_semi").dropDuplicates(["key", "dim"])
+        rows = rows.join(crowded, site, "left_anti").unionByName(hot.join(own, ["key", "dim"]))
+    place = [*site, "tile"]
+    placed = rows.repartition(*place).sortWithinPartitions(*place, "key")
 
     def cells_of(table: pa.Table) -> np.ndarray:
         """Numbers of runs of equal (embedder, dim, tree, cell, tile)."""
         change = np.zeros(table.num_rows, bool)
-        for name in ("embedder", "dim", "tree", "cell", "tile"):
+        for name in place:
             column = table.column(name).combine_chunks()
             change[1:] |= np.asarray(pa.compute.not_equal(column[1:], column[:-1]))
         return np.cumsum(change)
 
-    def pairs(table: pa.Table) -> pa.RecordBatch | None:
-        codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(-1, DEPTH)
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        left, right = near_in_order(cells_of(table), codes, sketches)
-        keys = table.column("key").to_numpy()
+    def batch_of(keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
         a, b = np.minimum(keys[left], keys[right]), np.maximum(keys[left], keys[right])
         both = np.unique(np.stack([a, b], 1)[a != b], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        cells, keys = cells_of(table), table.column("key").to_numpy()
+        cold = np.asarray(table.column("tile")) < 0
+        few = table.filter(pa.array(cold))
+        codes = np.frombuffer(b"".join(few.column("cell").to_pylist()), np.uint8).reshape(-1, DEPTH)
+        sketches = np.frombuffer(b"".join(few.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        yield batch_of(keys[cold], *near_in_order(cells[cold], codes, sketches))
+        for cell in np.unique(cells[~cold]).tolist():
+            start, end = np.searchsorted(cells, [cell, cell + 1]).tolist()
+            data = pa.concat_arrays([c.flatten() for c in table.column("embedding").slice(start, end - start).chunks])
+            # Twice the neighbours: room for equal cosines, which single precision cannot order.
+            yield batch_of(keys[start:end], *nearest_in_tile(data.to_numpy().reshape(end - start, -1), 2 * neighbours, least))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         count = 0
         for batch in batches:
             held.append(batch)
             count += batch.num_rows
-            if count >= 200_000:
+            if count >= 2 * STRIPE:
                 table = pa.Table.from_batches(held)
                 cells = cells_of(table)
                 last = int(np.searchsorted(cells, cells[-1]))
                 if last:
-                    yield pairs(table.slice(0, last))
-                rest = table.slice(last).combine_chunks()
+                    yield from pairs(table.slice(0, last))
+                rest = table.slice(last)
                 held, count = rest.to_batches(), rest.num_rows
         if count:
-            yield pairs(pa.Table.from_batches(held))
+            yield from pairs(pa.Table.from_batches(held))
 
-    return placed.select("embedder", "dim", "tree", "cell", "tile", "code", "key", "sketch").mapInArrow(run, "a bigint, b bigint").distinct()
+    return placed.select(*place, "key", "sketch", "embedding").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def cosines(pairs: DataFrame, vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
@@ -214,7 +222,7 @@ def similar(vectors: DataFrame, neighbours: int = NEIGHBOURS, least: float = LEA
     known = materialize(index(vectors).withColumn("key", F.xxhash64("id")))
     which = ["embedder", "dim", "h1", "h2"]
     classes = materialize(known.groupBy(*which).agg(F.min_by(F.struct("id", "key", "sketch", "codes"), "id").alias("r"), F.max("id").alias("last")).select(*which, "r.*", "last"))
-    close = materialize(cosines(materialize(candidate_pairs(classes)), vectors, least))
+    close = materialize(cosines(materialize(candidate_pairs(classes, vectors, neighbours, least)), vectors, least))
 
     several = classes.where(F.col("last") != F.col("id")).select(*which)
     members = known.join(several, which, "left_semi").select(*which, "id").distinct()

@@ -221,6 +221,29 @@ def test_groups_descend_and_ascend():
     assert len(set(zip(left.tolist(), right.tolist(), strict=True))) == 300 * 299 // 2  # one full-depth group: every pair
 
 
+def crowd(n=3000, dim=96, seed=3):
+    """A third of the vectors in one direction, at cosines of about 0.7, with near ones at 0.8 to 0.95 in and beside it."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n // 2, dim)) / np.sqrt(dim)
+    axis = rng.normal(size=dim)
+    base[: n // 6] = axis / np.linalg.norm(axis) + 0.65 * base[: n // 6]
+    out = base.repeat(2, 0)
+    out[1::2] += rng.normal(size=(n // 2, dim)) / np.sqrt(dim) * rng.uniform(0.3, 0.7, size=(n // 2, 1)) * np.linalg.norm(base, axis=1, keepdims=True)
+    return out.astype(np.float32)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"CELL": 50, "STRIPE": 70}])
+def test_a_crowd_in_one_direction_keeps_its_neighbours(spark, monkeypatch, sizes):
+    for name, size in sizes.items():
+        monkeypatch.setattr(vectors, name, size)
+    data = crowd()
+    ids = [f"v{n:04d}" for n in range(len(data))]
+    df = spark.createDataFrame([(i, "e", v.tolist()) for i, v in zip(ids, data, strict=True)], "id string, embedder string, embedding array<float>").repartition(4)
+    want = brute(ids, data)
+    got = {tuple(r) for r in vectors.similar(df).collect()}
+    assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
 # ---------------------------------------------------------------- p7
 
 
