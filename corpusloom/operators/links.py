@@ -45,17 +45,22 @@ def orphans(resolved: DataFrame, resource: DataFrame) -> DataFrame:
     return resource.select("id").distinct().join(linked, "id", "left_anti")
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, levels: int = 20) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, levels: int | None = None) -> DataFrame:
     """Rows (url, level): breadth-first from ``seeds`` (url) over ``edges`` (from_url, to_url), level by level.
 
-    Each level is written to the shared folder, so lineage and plans stay short; it ends at the first empty level.
+    Each level is written to the shared folder, so lineage and plans stay short; it ends at the first empty level. With
+    ``levels``, it raises ValueError where there are more.
     """
     seen = materialize(seeds.select("url").distinct().withColumn("level", F.lit(0)))
-    front = seen
-    for level in range(1, levels + 1):
+    front, level = seen, 0
+    while True:
+        level += 1
         step = edges.join(front.select(F.col("url").alias("from_url")), "from_url").select(F.col("to_url").alias("url")).distinct()
         front = materialize(step.join(seen.select("url"), "url", "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
-            break
+            return seen
+        if levels is not None and level > levels:
+            raise ValueError(f"more than {levels} levels of links")
         seen = seen.unionByName(front)
-    return seen
+        if level % 20 == 0:
+            seen = materialize(seen)

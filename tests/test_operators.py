@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
@@ -37,6 +38,14 @@ def test_links_and_reach(spark):
     assert {tuple(r) for r in links.merge_links(old, found, "r1").collect()} == {("p1", "https://e.org/b", "r0", "r1"), ("p9", "z", "r0", "r0")}
 
 
+def test_reach_follows_chains_to_their_end(spark):
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(23)], "from_url string, to_url string")
+    seeds = spark.createDataFrame([("n0",)], "url string")
+    assert {(r["url"], r["level"]) for r in links.reachable(edges, seeds).collect()} == {(f"n{k}", k) for k in range(24)}
+    with pytest.raises(ValueError, match="levels"):
+        links.reachable(edges, seeds, levels=2)
+
+
 def test_vector_search_in_blocks_equals_brute_force(spark):
     rng = np.random.default_rng(0)
     data = rng.normal(size=(60, 8)).astype(np.float32)
