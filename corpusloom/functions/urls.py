@@ -84,11 +84,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.concat(F.when(path == "", "/").otherwise(path), F.when(query.isNotNull(), F.concat(F.lit("?"), query)).otherwise("")), F.lit(""))
 
 
-def in_scope(url: Column, hosts: Iterable[str]) -> Column:
-    """Whether a URL is of http(s), on one of ``hosts`` and matches none of the skip patterns; null is not."""
+def in_scope(url: Column, hosts: Iterable[str] | Column) -> Column:
+    """Whether a URL is of http(s), on one of ``hosts`` and matches none of the skip patterns; null is not.
+
+    ``hosts`` may be a column instead, whether the host is one of them, where they are joined as a table.
+    """
     scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
     skip = url.rlike("(?i)" + "|".join(SKIP_PATTERNS))
-    return F.coalesce(scheme.isin("http", "https") & host_of(url).isin(*hosts) & ~skip, F.lit(False))
+    return F.coalesce(scheme.isin("http", "https") & (hosts if isinstance(hosts, Column) else host_of(url).isin(*hosts)) & ~skip, F.lit(False))
 
 
 def priority(url: Column) -> Column:

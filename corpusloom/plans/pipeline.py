@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import chunking, html, text, urls
 from corpusloom.operators import export, frontier, links, manifest, readmodels
 from corpusloom.plans.dashboard import _BLOB, _NOW, _RV, AS_OF
-from corpusloom.session import table
+from corpusloom.session import materialize, maybe_broadcast, table
 from corpusloom.sources import blobs, robots
 
 #: Of two snapshots of one log, the older one holds what was seen before this time.
@@ -32,9 +32,10 @@ Disallow:
 """
 
 
-def _hosts(spark, folder):
-    """The hosts of the resources, a set that is listed in settings where the engine runs."""
-    return [r["host"] for r in table(spark, folder, "resource").select("host").distinct().orderBy("host").limit(10_000).collect()]
+def _with_scope(spark, folder, rows, url):
+    """``rows`` with in_scope: whether ``url`` is in scope, with the hosts of the resources as those known."""
+    known = table(spark, folder, "resource").select(F.col("host").alias("_host")).where("_host is not null").distinct()
+    return rows.join(maybe_broadcast(materialize(known)), urls.host_of(url) == F.col("_host"), "left").withColumn("in_scope", urls.in_scope(url, F.col("_host").isNotNull())).drop("_host")
 
 
 def _pages(spark, folder):
@@ -60,7 +61,9 @@ def url_parts(spark, folder):
 
 
 def url_in_scope(spark, folder):
-    return table(spark, folder, "resource").select("id", urls.in_scope(F.concat("url", F.when(F.col("kind") == "sitemap", "?month=3").otherwise("")), _hosts(spark, folder)).alias("in_scope"))
+    url = F.concat("url", F.when(F.col("kind") == "sitemap", "?month=3").otherwise(""))
+    rows = table(spark, folder, "resource").select("id", url.alias("url"))
+    return _with_scope(spark, folder, rows, F.col("url")).select("id", "in_scope")
 
 
 def robots_decision(spark, folder):
@@ -149,7 +152,8 @@ def link_backfill(spark, folder):
 
 
 def frontier_undiscovered(spark, folder):
-    return links.undiscovered(_links(spark, folder), table(spark, folder, "resource"), urls.in_scope(F.col("to_url"), _hosts(spark, folder)))
+    found = _with_scope(spark, folder, _links(spark, folder), F.col("to_url"))
+    return links.undiscovered(found, table(spark, folder, "resource"), F.col("in_scope"))
 
 
 def orphan_pages(spark, folder):

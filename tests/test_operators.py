@@ -46,6 +46,13 @@ def test_reach_follows_chains_to_their_end(spark):
         links.reachable(edges, seeds, levels=2)
 
 
+def test_scope_knows_every_host(spark, tmp_path):
+    from corpusloom.plans import pipeline
+
+    spark.range(10_050).selectExpr("concat('r', id) as id", "format_string('h%05d.example', id) as host", "'page' as kind", "format_string('https://h%05d.example/a', id) as url").write.parquet(f"{tmp_path}/resource.parquet")
+    assert pipeline.url_in_scope(spark, str(tmp_path)).where("in_scope").count() == 10_050
+
+
 def test_vector_search_in_blocks_equals_brute_force(spark):
     rng = np.random.default_rng(0)
     data = rng.normal(size=(60, 8)).astype(np.float32)
