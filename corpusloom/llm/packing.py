@@ -1,7 +1,7 @@
-"""Packing documents into containers of fixed capacity (problem 9): hierarchical packing over a histogram of lengths.
+"""Packing documents into containers of fixed capacity (problem 9): longest fit first over a histogram of lengths.
 
-Documents are routed to tiers by length. Containers are opened by the longest items left, tier by tier from the
-longest, and their gaps filled from the same and the shorter tiers, always with the longest item that fits. As only
+Containers are opened by the longest items left and their gaps filled with the longest item that fits. This replaces
+hierarchical packing: the tiers only divide the order of the openers and have no effect on the result. As only
 lengths matter, this runs over the histogram of lengths, which has at most as many rows as the capacity whatever the
 corpus: a filling found once is repeated while the lengths in it last. Items then find their container from their
 length and their rank among items of that length, and containers are dealt out to step groups in turn, so that each
