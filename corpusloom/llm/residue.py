@@ -253,7 +253,7 @@ def judge(index: Index, lines: list[str], frame: list[bool]) -> tuple[bool, bool
     """
     placeholder = filler = False
     covered = other = 0
-    for line, is_frame in zip(with_slots("\n".join(lines)).split("\n"), frame, strict=True):
+    for line, is_frame in zip(map(with_slots, lines), frame, strict=True):
         words = _TERM.findall(line)
         matched = [(window, index.match(window)) for window in windows(line)] if index.meets(words) else []
         if not any(label for _, label in matched):

@@ -110,6 +110,11 @@ def test_residue(text, want):
     assert residue.judge(index, rows, [False] * len(rows))[0] is want
 
 
+@pytest.mark.parametrize("rows", [["{{", "name }}", "x"], ["50 %%", "off", "%% now"], ["${", "user", "}"], ["[[", "note", "]]"], ["", "\r", "<%", "%>"]])
+def test_template_signs_on_several_lines(rows):
+    assert residue.judge(residue.Index(10_000, {}), rows, [False] * len(rows)) == (False, False)
+
+
 @pytest.mark.parametrize("documents", [3_000, 300_000, 30_000_000])
 @pytest.mark.parametrize("text", ["Velit nisi ullamco dolor sit amet tempor.", "Lorem ipsum dolor sit amet, in sed do ut labore.", "Description of item 4"])
 def test_fillers_are_found_in_a_corpus_of_any_size(documents, text):
