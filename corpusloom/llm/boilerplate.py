@@ -1,5 +1,8 @@
 """Main content of pages without the frame of the site (problem 2): site template removal.
 
+Texts are read by Python once: :func:`analyse` turns each into narrow arrays (hashes of its elements, what residue its
+lines hold), from which the model of the sites and the verdict on every line are computed without the texts.
+
 The text of a page keeps the order of its elements: a line is a leaf, and a line with the short lines under it (a menu
 or sidebar with its entries) is a subtree. Elements are hashed: a leaf by its form, with the site's own name as one
 sign, and an entry by its shape, in which all words but function words are alike. Hashes are counted per host, and
@@ -11,7 +14,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
@@ -19,16 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.words import STOPWORDS
+from corpusloom.llm import residue
 from corpusloom.session import materialize, maybe_broadcast
 
 #: A leaf recurs if its texts are at least LEAST and significantly (two deviations) above this share of the texts.
 LEAST, SHARE = 3, 0.008
 #: Of the occurrences of an entry's shape, so many stand directly below a frame line; above SURE it is frame anywhere.
 BELOW, SURE = 0.2, 0.6
-#: Longest line that can be an entry, and fewest occurrences of a shape from which a host's own share counts.
-ENTRY_CHARS, OWN = 90, 30
+#: Fewest occurrences of a shape from which a host's own share counts.
+OWN = 30
 #: Share of the titles from which a shape counts as a title's.
 TITLE_SHARE = 0.0003
+#: A line of so many texts and hosts becomes an exemplar if this share of its texts is messages to this share of words.
+GROWN_TEXTS, GROWN_HOSTS, GROWN_SHARE, GROWN_COVERED = 3, 2, 0.8, 0.3
+#: Documents of a host that are judged by one task.
+PART = 50_000
 
 # Words that stay themselves in a shape.
 FUNCTION_WORDS = STOPWORDS | {"across", "along", "around", "near", "per", "within"}
@@ -89,50 +97,64 @@ def leaf_forms(text: str, site: _Site) -> list[str]:
     return [" ".join(map(look, line.split(" "))).replace("¤ ¤", "¤") for line in map(str.strip, flat.split("\n"))]
 
 
+_INNER_END = re.compile(r"[^\W_]{2}[.!?]\s+\S")
+
+
 def is_sentence(line: str) -> bool:
-    """Whether a short line reads as a sentence: ends like one and has two function words or more."""
-    return line.rstrip()[-1:] in (".", "!", "?") and len(FUNCTION_WORDS.intersection(_LETTERS.findall(line.lower()))) > 1
+    """Whether a line reads as prose: ends like a sentence and has two function words or more, or a sentence before it."""
+    line = line.rstrip()
+    return line[-1:] in (".", "!", "?") and (len(FUNCTION_WORDS.intersection(_LETTERS.findall(line.lower()))) > 1 or bool(_INNER_END.search(line)))
 
 
 def elements(text: str, site: _Site) -> list[tuple[int, int | None]]:
-    """(leaf hash, shape hash or None for a long line or sentence) of each line; (0, None) for a blank one."""
+    """(leaf hash, shape hash or None for a sentence) of each line; (0, None) for a blank one."""
     out: list[tuple[int, int | None]] = []
     for line, form in zip(text.split("\n"), leaf_forms(text, site), strict=True):
         if not form:
             out.append((0, None))
-        elif len(form) > ENTRY_CHARS or is_sentence(form):
+        elif is_sentence(form):
             out.append((_hash(form), None))
         else:
             out.append((_hash(form), _hash(shape(line))))
     return out
 
 
-_OCCURRENCE = "array<struct<leaf:bigint,shape:bigint,above:bigint>>"
+ANALYSED = "resource_id string, host string, kind string, t bigint, u bigint, leaf array<bigint>, shape array<bigint>, words array<int>, label array<int>, covered array<int>"
 
 
-def _element_table(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (host, leaf, shape, above, n), n over distinct texts of the host, ``above`` the leaf before; and (host, texts)."""
+def analyse(documents: DataFrame, index: residue.Index) -> DataFrame:
+    """Rows of ANALYSED, one per resource of ``documents`` (resource_id, host, kind, text), written to the shared folder.
+
+    ``leaf`` and ``shape`` are the hashes of a page's lines (0 where there is none), empty for other kinds; ``label``
+    and ``covered`` are those of ``residue.labelled_lines``; (t, u) is a digest of the text. Repeated deliveries of a
+    resource are dropped from the arrays, so texts are not shuffled for it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sites: dict[str, _Site] = {}
         for batch in batches:
             rows = []
-            for host, text in zip(batch["host"], batch["text"], strict=True):
-                above, seen = 0, {}
-                for leaf, form in elements(text, sites.setdefault(host, _Site(host))):
-                    if leaf:
-                        seen[(leaf, form, above)] = None
-                        above = leaf
+            for key, host, kind, text in zip(batch["resource_id"], batch["host"], batch["kind"], batch["text"], strict=True):
+                lines = text.split("\n")
+                found = elements(text, sites.setdefault(host, _Site(host))) if kind == "page" else []
                 digest = xxhash.xxh128_digest(text)
-                rows.append((host, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), [{"leaf": a, "shape": b, "above": c} for a, b, c in seen]))
-            yield pd.DataFrame(rows, columns=["host", "t", "u", "found"])
+                halves = (int.from_bytes(digest[k : k + 8], "big", signed=True) for k in (0, 8))
+                rows.append((key, host, kind, *halves, [leaf for leaf, _ in found], [form or 0 for _, form in found], residue.word_counts(lines), *residue.labelled_lines(index, text, lines)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ANALYSED.split(", ")])
+
+    seen = documents.select("resource_id", "host", "kind", "text").mapInPandas(run, ANALYSED)
+    return materialize(seen.dropDuplicates(["resource_id"]))
+
 
-    one = documents.select("host", "text").mapInPandas(run, f"host string, t bigint, u bigint, found {_OCCURRENCE}")
-    texts = one.groupBy("host", "t", "u").agg(F.first("found").alias("found"))
-    spread = texts.select("host", F.inline("found"))
+def _element_table(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (host, leaf, shape, above, n), n over distinct texts of the host, ``above`` the leaf before; and (host, texts)."""
+    solid = F.filter(F.arrays_zip("leaf", "shape"), lambda x: x["leaf"] != 0)
+    texts = pages.groupBy("host", "t", "u").agg(F.first(solid).alias("e"))
+    above = F.array_prepend(F.transform(F.slice("e", 1, F.greatest(F.lit(0), F.size("e") - 1)), lambda x: x["leaf"]), F.lit(0).cast("bigint"))
+    placed = F.zip_with("e", above, lambda x, a: F.when(x.isNotNull(), F.struct(x["leaf"].alias("leaf"), F.nullif(x["shape"], F.lit(0).cast("bigint")).alias("shape"), a.alias("above"))))
+    spread = texts.select("host", F.inline(F.array_distinct(F.array_compact(placed))))
     counted = spread.groupBy("host", "leaf", "shape", "above").agg(F.count("*").alias("n"))
-    sizes = texts.groupBy("host").agg(F.count("*").alias("texts"))
-    return counted, sizes
+    return counted, texts.groupBy("host").agg(F.count("*").alias("texts"))
 
 
 def _recurs(count, texts):
@@ -140,14 +162,14 @@ def _recurs(count, texts):
     return F.col(count) >= F.greatest(F.lit(LEAST), expected + 2 * F.sqrt(expected))
 
 
-def site_model(documents: DataFrame, titles: DataFrame) -> DataFrame:
-    """Rows (host, leaves, shapes, sure): a host's frame leaves and entry shapes, by hash.
+def site_model(pages: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (host, hash, what): the hosts' frame leaves ("leaf") and entry shapes ("shape", "sure"); and (leaf, n, hosts).
 
-    ``documents`` has (resource_id, host, text) and ``titles`` (host, title). A line counts only beyond the pages of
-    the host that have it as title. A host has at most 1 / SHARE times its mean
-    number of lines as frame leaves, whatever its size; copies of one text count once.
+    ``pages`` has rows of ANALYSED and ``titles`` (host, title). A line counts only beyond the pages of the host that
+    have it as title. A host has at most 1 / SHARE times its mean number of lines as frame leaves, whatever its size;
+    copies of one text count once. The second table counts the texts of every leaf.
     """
-    counted, sizes = _element_table(documents)
+    counted, sizes = _element_table(pages)
     counted = materialize(counted)
     sizes = materialize(sizes)
     named = materialize(_title_forms(titles))
@@ -156,7 +178,8 @@ def site_model(documents: DataFrame, titles: DataFrame) -> DataFrame:
     leaves = materialize(leaves.select("host", "leaf", (F.col("n") - F.coalesce("titles", F.lit(0))).alias("n")).where("n > 0"))
     whole = sizes.agg(F.sum("texts").alias("texts")).first()["texts"] or 0
     expected = whole * SHARE
-    everywhere = leaves.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("hosts")).where((F.col("n") >= max(LEAST, expected + 2 * math.sqrt(expected))) & (F.col("hosts") > 1)).select("leaf")
+    totals = leaves.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("hosts"))
+    everywhere = totals.where((F.col("n") >= max(LEAST, expected + 2 * math.sqrt(expected))) & (F.col("hosts") > 1)).select("leaf")
     own = leaves.join(maybe_broadcast(sizes), "host").where(_recurs("n", "texts")).select("host", "leaf")
     frame = materialize(own.unionByName(leaves.join(everywhere, "leaf", "left_semi").select("host", "leaf")).distinct())
     few = maybe_broadcast(frame)
@@ -171,8 +194,8 @@ def site_model(documents: DataFrame, titles: DataFrame) -> DataFrame:
     overall = shapes.groupBy("shape").agg(F.sum("n").alias("all_n"), F.sum("first").alias("all_first")).where((F.col("all_n") >= 5) & (F.col("all_first") > 0))
     rate = F.when(F.col("n") >= OWN, F.col("first") / F.col("n")).otherwise(F.col("all_first") / F.col("all_n"))
     rated = shapes.join(overall, "shape").join(titled, "shape", "left_anti").withColumn("rate", rate).where(F.col("rate") >= BELOW)
-    entries = rated.groupBy("host").agg(F.collect_set("shape").alias("shapes"), F.collect_set(F.when(F.col("rate") >= SURE, F.col("shape"))).alias("sure"))
-    return materialize(frame.groupBy("host").agg(F.collect_set("leaf").alias("leaves")).join(entries, "host", "left"))
+    entries = rated.select("host", F.col("shape").alias("hash"), F.when(F.col("rate") >= SURE, "sure").otherwise("shape").alias("what"))
+    return materialize(frame.select("host", F.col("leaf").alias("hash"), F.lit("leaf").alias("what")).unionByName(entries)), totals
 
 
 def _title_forms(titles: DataFrame) -> DataFrame:
@@ -187,41 +210,79 @@ def _title_forms(titles: DataFrame) -> DataFrame:
     return titles.where(F.col("title").isNotNull()).select("host", "title").mapInPandas(run, "host string, leaf bigint, shape bigint")
 
 
-def frame_lines(text: str, site: _Site, leaves: frozenset[int], shapes: frozenset[int], sure: frozenset[int]) -> list[bool]:
-    """For each line of a page whether it is frame; a blank line never is."""
+def frame_lines(leaf: list[int], shape: list[int], leaves: set[int], shapes: set[int], sure: set[int]) -> list[bool]:
+    """For each line of a page, given by its hashes, whether it is frame; a blank line never is."""
     out, below = [], True
-    for leaf, form in elements(text, site):
-        if not leaf:
+    for one, form in zip(leaf, shape, strict=True):
+        if not one:
             out.append(False)
             continue
-        hit = leaf in leaves or form in sure or (below and form in shapes)
-        below = hit
-        out.append(hit)
+        below = one in leaves or form in sure or (below and form in shapes)
+        out.append(below)
     return out
 
 
-def scan(documents: DataFrame, model: DataFrame, emit: Callable[[str, str, list[str], list[bool]], list[tuple]], schema: str) -> DataFrame:
-    """``emit(resource_id, kind, lines, frame)`` for every document, its rows as a DataFrame of ``schema``.
+_FLAGGED = "resource_id string, host string, frame array<int>, fixed boolean, hit int, other int, rest array<struct<leaf:bigint,words:int>>"
+
+
+def flagged(analysed: DataFrame, model: DataFrame) -> DataFrame:
+    """Rows of _FLAGGED, one per row of ``analysed``: its frame lines, its residue and its other lines.
 
-    The model, one row per host with arrays of bounded length, meets the documents by host: broadcast while the hosts
-    are few, else by a shuffle in which adaptive execution splits a host that holds most documents. Documents of a
-    host without model, and those that are no pages, have no frame.
+    The rows of a host are dealt out to parts of about PART, and each part gets one copy of the host's model, as rows
+    that are sorted before the documents': no model travels with a document, and a host that holds most documents is
+    many parts.
     """
-    names = [field.split()[0] for field in schema.split(", ")]
-    met = documents.select("resource_id", "host", "kind", "text").join(maybe_broadcast(model, 2_000), "host", "left")
+    parts = analysed.groupBy("host").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    parts = maybe_broadcast(materialize(parts))
+    documents = analysed.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("resource_id"), F.col("parts")).cast("int")).drop("parts", "t", "u")
+    copies = model.join(parts, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "hash", "what")
+    both = copies.unionByName(documents.withColumn("hash", F.lit(0).cast("bigint")), allowMissingColumns=True).withColumn("late", F.col("resource_id").isNotNull())
+    placed = both.repartition("host", "part").sortWithinPartitions("host", "part", "late").drop("late")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple] = {}
+        here, known = None, {}
         for batch in batches:
             rows = []
-            for resource, host, kind, text, leaves, shapes, sure in zip(*(batch[c] for c in ("resource_id", "host", "kind", "text", "leaves", "shapes", "sure")), strict=True):
-                lines = text.split("\n")
-                frame = [False] * len(lines)
-                if kind == "page" and leaves is not None:
-                    if host not in known:
-                        known[host] = (_Site(host), *(frozenset(() if x is None else map(int, x)) for x in (leaves, shapes, sure)))
-                    frame = frame_lines(text, *known[host])
-                rows += emit(resource, kind, lines, frame)
-            yield pd.DataFrame(rows, columns=names)
-
-    return met.mapInPandas(run, schema)
+            columns = (batch[c] for c in ("host", "part", "hash", "what", "resource_id", "leaf", "shape", "words", "label", "covered"))
+            for host, part, hashed, what, key, leaf, shape, words, label, covered in zip(*columns, strict=True):
+                if (host, part) != here:
+                    here, known = (host, part), {"leaf": set(), "shape": set(), "sure": set()}
+                if key is None:
+                    known[what].add(int(hashed))
+                    continue
+                leaf, words = leaf.tolist(), words.tolist()
+                frame = frame_lines(leaf, shape.tolist(), known["leaf"], known["shape"], known["sure"]) if leaf else [False] * len(words)
+                label = label.tolist()
+                rest = [{"leaf": a, "words": w} for a, w, f, x in zip(leaf, words, frame, label or [0] * len(words), strict=True) if a and not f and not x] if leaf else []
+                rows.append((key, host, [n for n, hit in enumerate(frame) if hit], *residue.summary(label, covered.tolist(), words, frame), rest))
+            yield pd.DataFrame(rows, columns=["resource_id", "host", "frame", "fixed", "hit", "other", "rest"])
+
+    return placed.mapInPandas(run, _FLAGGED)
+
+
+def grown(found: DataFrame, totals: DataFrame) -> DataFrame:
+    """Rows (leaf): lines beside the frame that stand almost only in texts that are messages in good part.
+
+    ``found`` has rows of _FLAGGED and ``totals`` counts the texts of every leaf. These lines are exemplars of the
+    corpus' own, such as the number of the incident under a message.
+    """
+    near = found.where((F.col("hit") > 0) & (F.col("hit") >= GROWN_COVERED * (F.col("hit") + F.col("other"))))
+    lines = near.select("host", F.explode(F.array_distinct(F.transform("rest", lambda x: x["leaf"]))).alias("leaf"))
+    counts = lines.groupBy("leaf", "host").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.sum("n").alias("m"), F.count("*").alias("on"))
+    enough = counts.where((F.col("m") >= GROWN_TEXTS) & (F.col("on") >= GROWN_HOSTS))
+    return enough.join(totals, "leaf").where(F.col("m") >= GROWN_SHARE * F.col("n")).select("leaf")
+
+
+def verdicts(analysed: DataFrame, model: DataFrame, totals: DataFrame) -> DataFrame:
+    """Rows (resource_id, frame, residue, bare), one per row of ``analysed``, written to the shared folder.
+
+    ``frame`` are the numbers of the frame lines, ``residue`` says whether the text has a placeholder or filler or is
+    ``bare``: nothing but messages and filler, those of :func:`grown` included, beside its frame.
+    """
+    found = materialize(flagged(analysed, model))
+    more = materialize(grown(found, totals))
+    extra = found.where(F.size("rest") > 0).select("resource_id", F.inline("rest")).join(maybe_broadcast(more), "leaf", "left_semi").groupBy("resource_id").agg(F.sum("words").alias("extra"))
+    both = found.select("resource_id", "frame", "fixed", "hit", "other").join(extra, "resource_id", "left")
+    hit = F.col("hit") + F.coalesce("extra", F.lit(0))
+    bare = (hit > 0) & (hit >= residue.COVERED * (F.col("hit") + F.col("other")))
+    return materialize(both.select("resource_id", "frame", (F.col("fixed") | bare).alias("residue"), bare.alias("bare")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from corpusloom.llm import boilerplate, lines, packing, pages, pieces, reading, residue, scans, tokens, vectors
+from corpusloom.operators.incremental import WHITE_SPACE
 from corpusloom.session import table
 
 
@@ -11,41 +14,26 @@ def _texts(spark, folder, kind=None):
 
 
 def _judged(spark, folder, kind):
-    """The documents, the sites' frames and the index of residue exemplars."""
-    found = _texts(spark, folder, kind)
-    model = boilerplate.site_model(found.where("kind = 'page'"), table(spark, folder, "resource").where("kind = 'page'"))
-    return found, model, residue.Index(*residue.document_frequencies(found))
+    """The documents and the verdict on each."""
+    found = pages.texts_of(table(spark, folder, "resource"), table(spark, folder, "resource_text"), kind)
+    exemplars = residue.read_exemplars()
+    seen = boilerplate.analyse(found, residue.Index(*residue.document_frequencies(found, exemplars), exemplars))
+    return found, boilerplate.verdicts(seen, *boilerplate.site_model(seen.where("kind = 'page'"), table(spark, folder, "resource").where("kind = 'page'")))
 
 
 def p2_found(spark, folder):
-    found, model, index = _judged(spark, folder, "page")
-
-    def emit(resource, kind, parts, frame):
-        if residue.judge(index, parts, frame)[1]:
-            return []
-        return [(resource, n) for n, hit in enumerate(frame) if hit]
-
-    return boilerplate.scan(found, model, emit, "resource_id string, line_no int")
+    return _judged(spark, folder, "page")[1].where("not bare").select("resource_id", F.explode("frame").alias("line_no"))
 
 
 def p2_articles(spark, folder):
-    found, model, index = _judged(spark, folder, "page")
-
-    def emit(resource, kind, parts, frame):
-        if residue.judge(index, parts, frame)[1]:
-            return [(resource, "")]
-        return [(resource, "\n".join(x for x, hit in zip(parts, frame, strict=True) if not hit).strip())]
-
-    return boilerplate.scan(found, model, emit, "resource_id string, text string")
+    found, judged = _judged(spark, folder, "page")
+    kept = F.filter(F.split("text", "\n", -1), lambda x, n: ~F.array_contains("frame", n))
+    article = F.when(F.col("bare"), "").otherwise(F.btrim(F.array_join(kept, "\n"), F.lit(WHITE_SPACE)))
+    return found.select("resource_id", "text").dropDuplicates(["resource_id"]).join(judged, "resource_id").select("resource_id", article.alias("text"))
 
 
 def p4_found(spark, folder):
-    found, model, index = _judged(spark, folder, None)
-
-    def emit(resource, kind, parts, frame):
-        return [(resource,)] if residue.judge(index, parts, frame)[0] else []
-
-    return boilerplate.scan(found, model, emit, "resource_id string")
+    return _judged(spark, folder, None)[1].where("residue").select("resource_id")
 
 
 def p3_found(spark, folder):

@@ -1,155 +1,55 @@
 """Template residue, filler and messages in place of content (problem 4).
 
-Labelled exemplars of residue are indexed by term. A text is taken in passage windows; the index retrieves the exemplars
-that share a term with a window, and TF-IDF containment scores them: the weight of the terms both have, against the
-exemplar's weight (is the exemplar in the passage?) or against the passage's (is the passage nothing but the exemplar's
-words?). Weights come from the document frequencies of the exemplars' terms in the whole corpus. Placeholders and
-filler exclude a text wherever they stand; messages only if they cover what a text has beside its frame.
+Labelled exemplars of residue, a table that is read (``residue_exemplars.tsv`` or one of the caller's), are indexed by
+term. A text is taken in passage windows; the index retrieves the exemplars that share a term with a window, and TF-IDF
+containment scores them: the weight of the terms both have, against the exemplar's weight (is the exemplar in the
+passage?) or against the passage's (is the passage nothing but filler words?). Weights come from the document
+frequencies of the exemplars' terms in the whole corpus. Placeholders and filler exclude a text wherever they stand;
+messages only if they cover what a text has beside its frame. Lines that stand almost only in such texts become
+exemplars too (``grown`` in ``boilerplate``).
 """
 
 from __future__ import annotations
 
+import csv
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Least containment of a placeholder or message exemplar in a window, and of a window in a filler exemplar.
+#: Least containment of a placeholder or message exemplar in a window, and of a window in filler exemplars.
 CONTAINED, FILLED = 0.75, 0.75
 #: Share of the words beside the frame that messages or filler must cover in a text without article.
 COVERED = 0.6
 #: Longest window in words; longer passages overlap by half.
 WINDOW = 40
+#: A filler of fewer than SHORT words must be made of terms that at most this share of the texts has.
+SHORT, RARE = 4, 0.02
 
-# Exemplars of residue, by label. In these, ⟦…⟧ is a slot of template syntax.
-PLACEHOLDERS = """
-⟦braces⟧
-⟦dollar⟧
-⟦percent⟧
-⟦embedded⟧
-⟦at⟧
-⟦brackets⟧
-⟦underscores⟧
-⟦crosses⟧
-⟦angle⟧ of ⟦angle⟧ offered by ⟦angle⟧
-dear ⟦angle⟧ your request was received
-⟦guillemets⟧
-your heading goes here
-click here to edit this block of text
-click here to edit this text
-image caption placeholder
-replace this text before publishing
-placeholder text
-enter a short description of the service here
-insert text here
-your text here
-insert title here
-type your content here
-add your description here
-posted by undefined on nan nan nan
-undefined undefined
-hello null thank you for signing up
-dear null your request was received
-todo confirm with
-""".strip().split("\n")
-FILLERS = """
-lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum
-asdf asdf qwerty test test testing foo bar
-item description of item
-""".strip().split("\n")
-MESSAGES = """
-page not found
-404
-404 not found
-error 404
-the page you asked for could not be found
-it may have been moved or deleted
-the page you are looking for does not exist
-file or directory not found
-the resource you are looking for might have been removed had its name changed or is temporarily unavailable
-no results matched your request for item
-please check the address and try again
-oops
-we looked everywhere but there is nothing here
-go back to the home page
-object moved
-this document may be found here
-lo sentimos la página solicitada no existe
-código
-désolé cette page est introuvable sur le site
-code
-access denied
-forbidden
-you do not have permission to view this directory
-request id
-your address has been blocked by the firewall
-incident
-checking that you are not a robot
-checking your browser before you continue
-this may take seconds
-ray
-reference
-session
-ticket
-error code
-your session has expired
-please sign in again to continue
-please log in to continue
-error establishing a database connection
-server error in application
-runtime error
-an application error occurred on the server
-the details cannot be viewed remotely
-internal server error
-502 bad gateway
-503 service unavailable
-the service is unavailable
-please try again in minutes
-please try again later
-traceback most recent call last
-file line in render
-keyerror agenda
-warning cannot modify header information headers already sent in on line
-fatal error uncaught exception in render on line
-we ll be back soon
-the website is down for scheduled maintenance until
-the site is under maintenance
-this site requires javascript and cookies
-your browser has scripting turned off
-javascript is disabled
-some features cannot be displayed
-please turn on javascript in your browser and reload the page to view the portal
-you need to enable javascript to run this app
-your browser is not supported
-use a newer browser with scripts allowed to open map
-loading map viewer
-if nothing happens check that scripts are not blocked
-active scripting must be allowed for this calendar module to appear
-please enable cookies and reload the page
-""".strip().split("\n")
-
-# The template syntaxes that become slots, in the order they are looked for.
+EXEMPLARS = Path(__file__).with_name("residue_exemplars.tsv")
+
+# The template syntaxes that become slots, in the order they are looked for. None spans lines.
 SLOTS = [
-    ("embedded", r"<%=?.{1,60}?%>|<\?(?:php|=).{1,60}?\?>"),
-    ("braces", r"\{\{\s*[\w.| -]{1,60}\s*\}\}"),
-    ("dollar", r"[$#]\{\s*[\w.]{1,60}\s*\}"),
-    ("percent", r"%%\s*\w{1,60}\s*%%|%[A-Z][A-Z_]{2,40}%"),
-    ("at", r"@@\w{1,60}@@"),
-    ("brackets", r"\[\[\s*[\w ]{1,60}\s*\]\]"),
-    ("underscores", r"\b__[A-Za-z][A-Za-z/_]{1,40}?__(?!\w)"),
-    ("crosses", r"\b[Xx]{3}[-. ][Xx]{3}[-. ][Xx]{4}\b"),
-    ("guillemets", r"«[\w.]{1,30}[_.][\w.]{1,30}»"),
-    ("angle", r"<[\w][\w ]{0,40}>"),
+    ("embedded", r"<%=?[^%\n]+%>|<\?(?:php|=)[^?\n]+\?>|\{%[^%\n]+%\}"),
+    ("braces", r"\{\{\s*[^{}\s][^{}\n]*\}\}|\{[!#]?[^\S\n]*[A-Za-z_][\w. ]*\}|\{\d+\}"),
+    ("dollar", r"[$#]\{\s*\w[^{}\n]*\}"),
+    ("percent", r"%%[^\S\n]*\w+[^\S\n]*%%|%[A-Z][A-Z_]{2,}%|%\(\w+\)s"),
+    ("at", r"@@\w+@@|##\w+##|\*\|\w[\w:]*\|\*"),
+    ("brackets", r"\[\[[^\S\n]*\w[\w ]*\]\]|\[(?:[A-Z]+[_ ])*(?:NAME|DATE|TITLE|ADDRESS|NUMBER|TEXT|EMAIL|PHONE|YEAR|TIME|PLACE|TOWN)\]"),
+    ("instruction", r"[\[<][^\S\n]*(?:[Yy]our|YOUR|[Ii]nsert|INSERT|[Ee]nter|ENTER|[Tt]ype|[Cc]hoose|[Ss]elect)\b[^\[\]<>\n]*[\]>]"),
+    ("underscores", r"(?<![\w/-])__[A-Za-z](?:[A-Za-z/]|_(?!_))*__(?![\w/-])"),
+    ("crosses", r"\b[Xx]{3}[-. ][Xx]{3}[-. ][Xx]{4}\b|\b[Xx]{2}/[Xx]{2}/[Xx]{2,4}\b"),
+    ("guillemets", r"«\w+[_.][\w.]*»|<<\w[\w ]*>>"),
+    ("fill", r"\bTBD(?:\W+TBD\b)+"),
+    ("angle", r"<\w[\w ]*>"),
 ]
 _SLOT = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in SLOTS))
 _TERM = re.compile(r"⟦\w+⟧|[^\W_]+")
-
-
-_HINT = re.compile(r"[{<«]|%%|@@|\[\[|__|[Xx]{3}|%[A-Z]")
+_HINT = re.compile(r"[{<«\[]|%%|@@|##|\*\||__|[Xx]{2}[Xx/]|TBD|%[A-Z(]")
 
 
 def with_slots(text: str) -> str:
@@ -164,50 +64,63 @@ def terms(passage: str) -> list[str]:
     return _TERM.findall(with_slots(passage))
 
 
-EXEMPLARS = [(label, terms(text)) for label, group in (("placeholder", PLACEHOLDERS), ("filler", FILLERS), ("message", MESSAGES)) for text in group]
-VOCABULARY = frozenset(t for _, words in EXEMPLARS for t in words)
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
 
 
+def _stretches(words: list[str]) -> Iterator[list[str]]:
+    """``words`` whole or, if they are many, in windows that overlap by half."""
+    if len(words) <= WINDOW:
+        if words:
+            yield words
+        return
+    for at in range(0, len(words) - WINDOW // 2, WINDOW // 2):
+        yield words[at : at + WINDOW]
+
+
 def windows(line: str) -> Iterator[list[str]]:
     """The passages of a line with slots: its sentences, longer ones in windows that overlap by half."""
     for sentence in _SENTENCES.split(line):
-        words = _TERM.findall(sentence)
-        if len(words) <= WINDOW:
-            if words:
-                yield words
-            continue
-        for at in range(0, len(words) - WINDOW // 2, WINDOW // 2):
-            yield words[at : at + WINDOW]
+        yield from _stretches(_TERM.findall(sentence))
 
 
-def document_frequencies(documents: DataFrame) -> tuple[int, dict[str, int]]:
-    """The number of ``documents`` (text) and how many of them have each term of the exemplars.
+def read_exemplars(path: str | Path = EXEMPLARS) -> list[tuple[str, list[str]]]:
+    """(label, terms) of a table with the columns label (placeholder, filler or message) and text; ⟦…⟧ is a slot."""
+    with open(path, encoding="utf-8", newline="") as rows:
+        found = [(r["label"], terms(r["text"])) for r in csv.DictReader(rows, delimiter="\t")]
+    if any(label not in ("placeholder", "filler", "message") or not words for label, words in found):
+        raise ValueError(f"{path}: a label is unknown or a text has no terms")
+    return found
 
-    What comes to the driver has one row per term of the exemplars, which bounds it whatever the corpus.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                counts.update(VOCABULARY.intersection(terms(text)))
-                counts[""] += 1
-        yield pd.DataFrame(list(counts.items()), columns=["term", "n"])
+def vocabulary(exemplars: list[tuple[str, list[str]]]) -> frozenset[str]:
+    return frozenset(t for _, words in exemplars for t in words)
 
-    counted = documents.select("text").mapInPandas(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    found = {r["term"]: r["n"] for r in counted.collect()}
+
+def document_frequencies(documents: DataFrame, exemplars: list[tuple[str, list[str]]]) -> tuple[int, dict[str, int]]:
+    """The number of ``documents`` (resource_id, text) and how many of them have each word of the exemplars.
+
+    Counted in the JVM, repeated deliveries once. What comes to the driver has one row per term of the exemplars,
+    which bounds it whatever the corpus. Slots of template syntax have no frequency: they are residue wherever they are.
+    """
+    known = F.array(*[F.lit(t) for t in sorted(vocabulary(exemplars)) if t[0] != "⟦"])
+    had = F.array_intersect(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), known)
+    one = documents.select("resource_id", F.array_append(had, F.lit("")).alias("had")).dropDuplicates(["resource_id"])
+    found = {r["term"]: r["n"] for r in one.select(F.explode("had").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
     return found.pop("", 0), found
 
 
 class Index:
-    """The exemplars by term, with the weights of a corpus."""
+    """Exemplars by term, with the weights of a corpus."""
 
-    def __init__(self, documents: int, frequencies: dict[str, int]) -> None:
+    def __init__(self, documents: int, frequencies: dict[str, int], exemplars: list[tuple[str, list[str]]] | None = None) -> None:
+        exemplars = read_exemplars() if exemplars is None else exemplars
+        known = vocabulary(exemplars)
         self.unseen = math.log(1 + documents / 0.5)
-        self.idf = {t: math.log(1 + documents / (0.5 + frequencies.get(t, 0))) for t in VOCABULARY}
-        self.exemplars = [(label, frozenset(words), sum(self.idf[t] for t in set(words))) for label, words in EXEMPLARS]
+        self.idf = {t: math.log(1 + documents / (0.5 + frequencies.get(t, 0))) for t in known}
+        self.rare = frozenset(t for t in known if frequencies.get(t, 0) <= max(1, RARE * documents))
+        self.exemplars = [(label, frozenset(words), sum(self.idf[t] for t in set(words))) for label, words in exemplars]
         self.fillers = [words for label, words, _ in self.exemplars if label == "filler"]
+        self.filling = frozenset().union(*self.fillers)
         self.anchored: dict[str, list[int]] = defaultdict(list)
         for k, (label, _, _) in enumerate(self.exemplars):
             for t in self._anchors(k) if label != "filler" else ():
@@ -224,9 +137,9 @@ class Index:
             left -= self.idf[t]
             yield t
 
-    def meets(self, words: list[str]) -> bool:
+    def meets(self, words: set[str]) -> bool:
         """Whether ``words`` can hold a match: an anchor, or two terms of a filler, which every filler passage has."""
-        return not self.anchors.isdisjoint(words) or any(len(f.intersection(words)) >= 2 for f in self.fillers)
+        return not self.anchors.isdisjoint(words) or (not self.filling.isdisjoint(words) and any(len(f & words) >= 2 for f in self.fillers))
 
     def match(self, words: list[str]) -> str | None:
         """The label of an exemplar that a window of ``words`` matches; placeholders before filler before messages."""
@@ -237,36 +150,74 @@ class Index:
             shared = sum(self.idf[t] for t in exemplar & every)
             if shared >= CONTAINED * whole and (label == "placeholder" or len(words) <= 2 * len(exemplar) + 4):
                 labels.add(label)
-        fillers = [f for f in self.fillers if len(f & every) >= 2] if len(words) >= 4 else []
-        if fillers:
-            distinct = {t for t in every if not t.isdigit()}
-            weight = sum(self.idf.get(t, self.unseen) for t in distinct)
-            if any(sum(self.idf[t] for t in f & distinct) >= FILLED * weight for f in fillers):
-                labels.add("filler")
+        if self.is_filler(words, every):
+            labels.add("filler")
         return next((x for x in ("placeholder", "filler", "message") if x in labels), None)
 
+    def is_filler(self, words: list[str], every: set[str]) -> bool:
+        """Whether the terms of fillers that share two terms with a window hold the window's weight.
 
-def judge(index: Index, lines: list[str], frame: list[bool]) -> tuple[bool, bool]:
-    """(has residue, has no article): of a text whose ``frame`` lines are known.
+        Fewer than SHORT words must all be terms of one filler, two of them or more rare in the corpus.
+        """
+        near = [f for f in self.fillers if len(f & every) >= 2]
+        if not near:
+            return False
+        distinct = {t for t in every if not t.isdigit()}
+        if len(words) < SHORT:
+            return any(distinct <= f and len(distinct & self.rare) >= 2 for f in near)
+        weight = sum(self.idf.get(t, self.unseen) for t in distinct)
+        return sum(self.idf[t] for t in frozenset().union(*near) & distinct) >= FILLED * weight
 
-    Frame lines that hold a message (such as a script notice) count as message, other frame lines not at all.
+
+NONE, PLACEHOLDER, FILLER, MESSAGE = range(4)
+
+
+def labelled_lines(index: Index, text: str, lines: list[str]) -> tuple[list[int], list[int]]:
+    """For each line its label and how many words of messages or filler it holds; two empty lists if no line has any.
+
+    A line with several labels has the first of placeholder, filler and message. Filler is looked for in sentences
+    and in stretches of the whole line, as it may come in sentences of a word or two.
     """
-    placeholder = filler = False
-    covered = other = 0
-    for line, is_frame in zip(map(with_slots, lines), frame, strict=True):
+    if not index.meets(set(_TERM.findall(with_slots(text)))):
+        return [], []
+    labels, covered = [NONE] * len(lines), [0] * len(lines)
+    for n, line in enumerate(lines):
+        line = with_slots(line)
         words = _TERM.findall(line)
-        matched = [(window, index.match(window)) for window in windows(line)] if index.meets(words) else []
-        if not any(label for _, label in matched):
-            other += 0 if is_frame else len(words)
+        if not words or not index.meets(set(words)):
             continue
-        for words, label in matched:
-            if is_frame and label != "message":
-                continue
-            placeholder |= label == "placeholder"
-            filler |= label == "filler"
-            if label in ("message", "filler"):
-                covered += len(words)
-            elif not is_frame:
-                other += len(words)
-    bare = covered > 0 and covered >= COVERED * (covered + other)
-    return placeholder or filler or bare, bare
+        found = [(window, index.match(window)) for window in windows(line)]
+        whole = [window for window in _stretches(words) if index.is_filler(window, set(window))] if len(found) > 1 else []
+        kinds = {label for _, label in found} | ({"filler"} if whole else set())
+        labels[n] = next((k for k, name in ((PLACEHOLDER, "placeholder"), (FILLER, "filler"), (MESSAGE, "message")) if name in kinds), NONE)
+        covered[n] = min(len(words), max(sum(len(w) for w, label in found if label in ("filler", "message")), sum(map(len, whole))))
+    return (labels, covered) if any(labels) else ([], [])
+
+
+def word_counts(lines: list[str]) -> list[int]:
+    return [len(line.split()) for line in lines]
+
+
+def summary(labels: list[int], covered: list[int], words: list[int], frame: list[bool]) -> tuple[bool, int, int]:
+    """(has placeholder or filler, words of messages and filler, other words) of a text whose ``frame`` lines are known.
+
+    Frame lines that hold a message (such as a script notice) count as message, other frame lines not at all.
+    """
+    fixed, hit, other = False, 0, 0
+    for n, is_frame in enumerate(frame):
+        label = labels[n] if labels else NONE
+        if is_frame:
+            hit += covered[n] if label == MESSAGE else 0
+            continue
+        fixed |= label in (PLACEHOLDER, FILLER)
+        hit += covered[n] if label else 0
+        other += max(0, words[n] - (covered[n] if label else 0))
+    return fixed, hit, other
+
+
+def judge(index: Index, lines: list[str], frame: list[bool]) -> tuple[bool, bool]:
+    """(has residue, has no article): of a text whose ``frame`` lines are known."""
+    labels, covered = labelled_lines(index, "\n".join(lines), lines)
+    fixed, hit, other = summary(labels, covered, word_counts(lines), frame)
+    bare = hit > 0 and hit >= COVERED * (hit + other)
+    return fixed or bare, bare
