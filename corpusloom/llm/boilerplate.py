@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,6 +123,15 @@ def elements(text: str, site: _Site) -> list[tuple[int, int | None]]:
 ANALYSED = "resource_id string, host string, kind string, t bigint, u bigint, leaf array<bigint>, shape array<bigint>, words array<int>, label array<int>, covered array<int>"
 
 
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [field.split() for field in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
+
+
 def analyse(documents: DataFrame, index: residue.Index) -> DataFrame:
     """Rows of ANALYSED, one per resource of ``documents`` (resource_id, host, kind, text), written to the shared folder.
 
@@ -130,19 +140,19 @@ def analyse(documents: DataFrame, index: residue.Index) -> DataFrame:
     resource are dropped from the arrays, so texts are not shuffled for it.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sites: dict[str, _Site] = {}
         for batch in batches:
             rows = []
-            for key, host, kind, text in zip(batch["resource_id"], batch["host"], batch["kind"], batch["text"], strict=True):
+            for key, host, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lines = text.split("\n")
                 found = elements(text, sites.setdefault(host, _Site(host))) if kind == "page" else []
                 digest = xxhash.xxh128_digest(text)
                 halves = (int.from_bytes(digest[k : k + 8], "big", signed=True) for k in (0, 8))
                 rows.append((key, host, kind, *halves, [leaf for leaf, _ in found], [form or 0 for _, form in found], residue.word_counts(lines), *residue.labelled_lines(index, text, lines)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ANALYSED.split(", ")])
+            yield _batch(rows, ANALYSED)
 
-    seen = documents.select("resource_id", "host", "kind", "text").mapInPandas(run, ANALYSED)
+    seen = documents.select("resource_id", "host", "kind", "text").mapInArrow(run, ANALYSED)
     return materialize(seen.dropDuplicates(["resource_id"]))
 
 
@@ -222,7 +232,7 @@ def frame_lines(leaf: list[int], shape: list[int], leaves: set[int], shapes: set
     return out
 
 
-_FLAGGED = "resource_id string, host string, frame array<int>, fixed boolean, hit int, other int, rest array<struct<leaf:bigint,words:int>>"
+_FLAGGED = "resource_id string, host string, frame array<int>, fixed boolean, hit int, other int, rest array<bigint>, rest_words array<int>"
 
 
 def flagged(analysed: DataFrame, model: DataFrame) -> DataFrame:
@@ -239,25 +249,22 @@ def flagged(analysed: DataFrame, model: DataFrame) -> DataFrame:
     both = copies.unionByName(documents.withColumn("hash", F.lit(0).cast("bigint")), allowMissingColumns=True).withColumn("late", F.col("resource_id").isNotNull())
     placed = both.repartition("host", "part").sortWithinPartitions("host", "part", "late").drop("late")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, known = None, {}
         for batch in batches:
             rows = []
-            columns = (batch[c] for c in ("host", "part", "hash", "what", "resource_id", "leaf", "shape", "words", "label", "covered"))
-            for host, part, hashed, what, key, leaf, shape, words, label, covered in zip(*columns, strict=True):
+            for host, part, hashed, what, key, leaf, shape, words, label, covered in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (host, part) != here:
                     here, known = (host, part), {"leaf": set(), "shape": set(), "sure": set()}
                 if key is None:
-                    known[what].add(int(hashed))
+                    known[what].add(hashed)
                     continue
-                leaf, words = leaf.tolist(), words.tolist()
-                frame = frame_lines(leaf, shape.tolist(), known["leaf"], known["shape"], known["sure"]) if leaf else [False] * len(words)
-                label = label.tolist()
-                rest = [{"leaf": a, "words": w} for a, w, f, x in zip(leaf, words, frame, label or [0] * len(words), strict=True) if a and not f and not x] if leaf else []
-                rows.append((key, host, [n for n, hit in enumerate(frame) if hit], *residue.summary(label, covered.tolist(), words, frame), rest))
-            yield pd.DataFrame(rows, columns=["resource_id", "host", "frame", "fixed", "hit", "other", "rest"])
+                frame = frame_lines(leaf, shape, known["leaf"], known["shape"], known["sure"]) if leaf else [False] * len(words)
+                rest = [n for n, one in enumerate(leaf) if one and not frame[n] and not (label and label[n])]
+                rows.append((key, host, [n for n, hit in enumerate(frame) if hit], *residue.summary(label, covered, words, frame), [leaf[n] for n in rest], [words[n] for n in rest]))
+            yield _batch(rows, _FLAGGED)
 
-    return placed.mapInPandas(run, _FLAGGED)
+    return placed.select("host", "part", "hash", "what", "resource_id", "leaf", "shape", "words", "label", "covered").mapInArrow(run, _FLAGGED)
 
 
 def grown(found: DataFrame, totals: DataFrame) -> DataFrame:
@@ -267,7 +274,7 @@ def grown(found: DataFrame, totals: DataFrame) -> DataFrame:
     corpus' own, such as the number of the incident under a message.
     """
     near = found.where((F.col("hit") > 0) & (F.col("hit") >= GROWN_COVERED * (F.col("hit") + F.col("other"))))
-    lines = near.select("host", F.explode(F.array_distinct(F.transform("rest", lambda x: x["leaf"]))).alias("leaf"))
+    lines = near.select("host", F.explode(F.array_distinct("rest")).alias("leaf"))
     counts = lines.groupBy("leaf", "host").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.sum("n").alias("m"), F.count("*").alias("on"))
     enough = counts.where((F.col("m") >= GROWN_TEXTS) & (F.col("on") >= GROWN_HOSTS))
     return enough.join(totals, "leaf").where(F.col("m") >= GROWN_SHARE * F.col("n")).select("leaf")
@@ -281,7 +288,7 @@ def verdicts(analysed: DataFrame, model: DataFrame, totals: DataFrame) -> DataFr
     """
     found = materialize(flagged(analysed, model))
     more = materialize(grown(found, totals))
-    extra = found.where(F.size("rest") > 0).select("resource_id", F.inline("rest")).join(maybe_broadcast(more), "leaf", "left_semi").groupBy("resource_id").agg(F.sum("words").alias("extra"))
+    extra = found.where(F.size("rest") > 0).select("resource_id", F.inline(F.arrays_zip(F.col("rest").alias("leaf"), F.col("rest_words").alias("words")))).join(maybe_broadcast(more), "leaf", "left_semi").groupBy("resource_id").agg(F.sum("words").alias("extra"))
     both = found.select("resource_id", "frame", "fixed", "hit", "other").join(extra, "resource_id", "left")
     hit = F.col("hit") + F.coalesce("extra", F.lit(0))
     bare = (hit > 0) & (hit >= residue.COVERED * (F.col("hit") + F.col("other")))

@@ -27,6 +27,8 @@ CONTAINED, FILLED = 0.75, 0.75
 COVERED = 0.6
 #: Longest window in words; longer passages overlap by half.
 WINDOW = 40
+#: A filler's own terms, one of which all its windows have: those at most so many times as frequent as its middle one.
+OWN = 4
 #: A filler of fewer than SHORT words must be made of terms that at most this share of the texts has.
 SHORT, RARE = 4, 0.02
 
@@ -35,8 +37,8 @@ EXEMPLARS = Path(__file__).with_name("residue_exemplars.tsv")
 # The template syntaxes that become slots, in the order they are looked for. None spans lines.
 SLOTS = [
     ("embedded", r"<%=?[^%\n]+%>|<\?(?:php|=)[^?\n]+\?>|\{%[^%\n]+%\}"),
-    ("braces", r"\{\{\s*[^{}\s][^{}\n]*\}\}|\{[!#]?[^\S\n]*[A-Za-z_][\w. ]*\}|\{\d+\}"),
-    ("dollar", r"[$#]\{\s*\w[^{}\n]*\}"),
+    ("braces", r"\{\{[^\S\n]*[^{}\s][^{}\n]*\}\}|\{[!#]?[^\S\n]*[A-Za-z_][\w. ]*\}|\{\d+\}"),
+    ("dollar", r"[$#]\{[^\S\n]*\w[^{}\n]*\}"),
     ("percent", r"%%[^\S\n]*\w+[^\S\n]*%%|%[A-Z][A-Z_]{2,}%|%\(\w+\)s"),
     ("at", r"@@\w+@@|##\w+##|\*\|\w[\w:]*\|\*"),
     ("brackets", r"\[\[[^\S\n]*\w[\w ]*\]\]|\[(?:[A-Z]+[_ ])*(?:NAME|DATE|TITLE|ADDRESS|NUMBER|TEXT|EMAIL|PHONE|YEAR|TIME|PLACE|TOWN)\]"),
@@ -44,7 +46,7 @@ SLOTS = [
     ("underscores", r"(?<![\w/-])__[A-Za-z](?:[A-Za-z/]|_(?!_))*__(?![\w/-])"),
     ("crosses", r"\b[Xx]{3}[-. ][Xx]{3}[-. ][Xx]{4}\b|\b[Xx]{2}/[Xx]{2}/[Xx]{2,4}\b"),
     ("guillemets", r"«\w+[_.][\w.]*»|<<\w[\w ]*>>"),
-    ("fill", r"\bTBD(?:\W+TBD\b)+"),
+    ("fill", r"\bTBD(?:[^\w\n]+TBD\b)+"),
     ("angle", r"<\w[\w ]*>"),
 ]
 _SLOT = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in SLOTS))
@@ -55,7 +57,7 @@ _HINT = re.compile(r"[{<«\[]|%%|@@|##|\*\||__|[Xx]{2}[Xx/]|TBD|%[A-Z(]")
 def with_slots(text: str) -> str:
     """A text in lower case, template syntax as the signs of its slots."""
     if _HINT.search(text):
-        text = _SLOT.sub(lambda m: f" ⟦{m.lastgroup}⟧ ", text)
+        text = "\n".join(_SLOT.sub(lambda m: f" ⟦{m.lastgroup}⟧ ", x) if _HINT.search(x) else x for x in text.split("\n"))
     return text.lower()
 
 
@@ -120,6 +122,8 @@ class Index:
         self.rare = frozenset(t for t in known if frequencies.get(t, 0) <= max(1, RARE * documents))
         self.exemplars = [(label, frozenset(words), sum(self.idf[t] for t in set(words))) for label, words in exemplars]
         self.fillers = [words for label, words, _ in self.exemplars if label == "filler"]
+        middle = {f: 0.5 + sorted(frequencies.get(t, 0) for t in f)[len(f) // 2] for f in self.fillers}
+        self.own = {f: frozenset(t for t in f if frequencies.get(t, 0) + 0.5 <= OWN * middle[f]) for f in self.fillers}
         self.filling = frozenset().union(*self.fillers)
         self.anchored: dict[str, list[int]] = defaultdict(list)
         for k, (label, _, _) in enumerate(self.exemplars):
@@ -139,18 +143,30 @@ class Index:
 
     def meets(self, words: set[str]) -> bool:
         """Whether ``words`` can hold a match: an anchor, or two terms of a filler, which every filler passage has."""
-        return not self.anchors.isdisjoint(words) or (not self.filling.isdisjoint(words) and any(len(f & words) >= 2 for f in self.fillers))
+        return not self.anchors.isdisjoint(words) or bool(self._near(words))
+
+    def _near(self, every: set[str]) -> list[frozenset[str]]:
+        """The fillers that share two terms with ``every``, one of them the filler's own."""
+        if self.filling.isdisjoint(every):
+            return []
+        return [f for f in self.fillers if not self.own[f].isdisjoint(every) and len(f & every) >= 2]
+
+    def live(self, every: set[str]) -> tuple[list[int], list[frozenset[str]]]:
+        """The placeholders and messages, by number, and the fillers of which a text with the terms ``every`` can have a match."""
+        near = {k for t in self.anchors & every for k in self.anchored[t]}
+        held = [k for k in sorted(near) if sum(self.idf[t] for t in self.exemplars[k][1] & every) >= CONTAINED * self.exemplars[k][2]]
+        return held, self._near(every)
 
     def match(self, words: list[str]) -> str | None:
         """The label of an exemplar that a window of ``words`` matches; placeholders before filler before messages."""
         labels = set()
         every = set(words)
-        for k in {k for t in self.anchors & every for k in self.anchored[t]}:
-            label, exemplar, whole = self.exemplars[k]
-            shared = sum(self.idf[t] for t in exemplar & every)
-            if shared >= CONTAINED * whole and (label == "placeholder" or len(words) <= 2 * len(exemplar) + 4):
+        held, fillers = self.live(every)
+        for k in held:
+            label, exemplar, _ = self.exemplars[k]
+            if label == "placeholder" or len(words) <= 2 * len(exemplar) + 4:
                 labels.add(label)
-        if self.is_filler(words, every):
+        if fillers and self.is_filler(words, every):
             labels.add("filler")
         return next((x for x in ("placeholder", "filler", "message") if x in labels), None)
 
@@ -159,7 +175,7 @@ class Index:
 
         Fewer than SHORT words must all be terms of one filler, two of them or more rare in the corpus.
         """
-        near = [f for f in self.fillers if len(f & every) >= 2]
+        near = self._near(every)
         if not near:
             return False
         distinct = {t for t in every if not t.isdigit()}
@@ -178,11 +194,17 @@ def labelled_lines(index: Index, text: str, lines: list[str]) -> tuple[list[int]
     A line with several labels has the first of placeholder, filler and message. Filler is looked for in sentences
     and in stretches of the whole line, as it may come in sentences of a word or two.
     """
-    if not index.meets(set(_TERM.findall(with_slots(text)))):
+    low = with_slots(text)
+    held, fillers = index.live(set(_TERM.findall(low)))
+    if not held and not fillers:
         return [], []
+    hooks = [t for t in index.anchors & frozenset().union(*(index.exemplars[k][1] for k in held)) if t in low]
+    hooks += [t for t in frozenset().union(*(index.own[f] for f in fillers)) if t in low]
     labels, covered = [NONE] * len(lines), [0] * len(lines)
-    for n, line in enumerate(lines):
-        line = with_slots(line)
+    for n, line in enumerate(low.split("\n")):
+        # As substrings first, which costs less than taking the line apart.
+        if not any(t in line for t in hooks):
+            continue
         words = _TERM.findall(line)
         if not words or not index.meets(set(words)):
             continue

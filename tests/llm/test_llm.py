@@ -138,7 +138,7 @@ def test_anchors_lose_nothing():
 
 def test_lines_of_messages_grow_from_the_corpus(spark):
     def row(n, hit, other, *leaves):
-        return f"r{n}", f"h{n % 2}", [], False, hit, other, [(leaf, 3) for leaf in leaves]
+        return f"r{n}", f"h{n % 2}", [], False, hit, other, list(leaves), [3] * len(leaves)
 
     rows = [row(n, 3, 3, 7) for n in range(4)] + [row(4, 0, 3, 7), row(5, 3, 90, 8), row(6, 3, 3, 8), row(7, 3, 3, 9), row(9, 3, 3, 9), row(11, 3, 3, 9)]
     found = spark.createDataFrame(rows, boilerplate._FLAGGED)
