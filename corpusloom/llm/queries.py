@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import boilerplate, lines, packing, pages, pieces, reading, residue, scans, tokens, vectors
 from corpusloom.operators.incremental import WHITE_SPACE
-from corpusloom.session import table
+from corpusloom.session import materialize, table
 
 
 def _texts(spark, folder, kind=None):
@@ -71,7 +71,7 @@ def p8_ids(spark, folder):
 
 
 def p9_containers(spark, folder):
-    return packing.pack(packing.items(table(spark, folder, "documents")))
+    return packing.pack(materialize(packing.items(table(spark, folder, "documents"))))
 
 
 def p10_levels(spark, folder):

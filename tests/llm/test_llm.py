@@ -367,23 +367,44 @@ def test_ids_equal_the_other_library_and_decode(spark):
 def test_fillings_use_everything_once(histogram):
     plan = packing.fillings(histogram, 64)
     used = {}
-    for filling, times in plan:
-        assert sum(k * m for k, m in filling.items()) <= 64
+    for size, filling, times in plan:
+        assert sum(k * m for k, m in filling.items()) <= size and times > 0
+        assert size == 64 or sum(k * m for k, m in filling.items()) >= packing.KEPT * size
+        assert size in (8, 64) or any(size // 2 < k <= size for k in filling)  # a window holds an item of its own tier
         for k, m in filling.items():
             used[k] = used.get(k, 0) + m * times
     assert used == histogram
 
 
-def test_containers(spark):
+def test_tiers_are_packed_for_themselves():
+    histogram = {60: 3, 33: 2, 32: 9, 31: 2, 20: 5, 16: 9, 12: 6, 9: 6, 8: 9, 4: 60, 3: 4}
+    plans = {tiers: packing.fillings(histogram, 64, tiers) for tiers in ((1.0,), (1.0, 0.5), packing.TIERS)}
+    assert len({str(sorted(map(str, p))) for p in plans.values()}) == 3
+    assert {size for size, _, _ in plans[packing.TIERS]} <= {64, 32, 16, 8}
+    assert {size for size, _, _ in plans[packing.TIERS]} > {64, 8}
+    with pytest.raises(ValueError, match="tiers"):
+        packing.fillings(histogram, 64, (1.0, 0.3, 0.2))
+
+
+def test_gaps_of_long_windows_come_from_shorter_tiers():
+    assert packing.fillings({60: 2, 4: 3}, 64) == [(64, {60: 1, 4: 1}, 2), (64, {4: 1}, 1)]
+
+
+@pytest.mark.parametrize("ranked", [1_000_000, 7])
+def test_containers(spark, ranked):
     rng = random.Random(7)
     rows = [(n, " ".join(["word"] * (rng.randrange(1, 90) if n % 3 else 40))) for n in range(500)] + [(9000, " word" * 1000), (9001, ""), (9002, None)]
     df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
-    out = packing.pack(packing.items(df, 128), 128, step=8, salts=4).toPandas()
+    out = packing.pack(packing.items(df, 128), 128, step=8, ranked=ranked).toPandas()
     sizes = out.groupby("container").token_count.sum()
     assert sizes.max() <= 128 and out.token_count.sum() / (len(sizes) * 128) > 0.97
+    windows = out.groupby(["container", "window"]).agg(tier=("tier", "first"), n=("tier", "nunique"), tokens=("token_count", "sum"))
+    assert (windows.tokens <= windows.tier).all() and (windows.n == 1).all() and out.groupby("container").tier.nunique().max() == 1
+    assert 128 in set(out.tier) and (out.window < 128 // out.tier).all()
     whole = out.groupby("doc_id").agg(n=("piece_index", "count"), tokens=("token_count", "sum"))
     assert len(whole) == 501 and whole.loc[9000, "tokens"] == 1000 and whole.loc[9000, "n"] == 8 and (whole.n.drop(9000) == 1).all()
     assert out.groupby("step_group").token_count.sum().std() < 0.2 * out.groupby("step_group").token_count.sum().mean()
+    assert out.groupby(["step_group", "tier"]).container.nunique().unstack(fill_value=0).apply(lambda n: n.max() - n.min()).max() <= 2
 
 
 # ---------------------------------------------------------------- p10
