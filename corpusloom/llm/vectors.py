@@ -1,13 +1,15 @@
 """The most similar vectors of every vector (problem 6): a hash-prefix forest, then exact cosines.
 
-Each of TREES trees gives a vector a string of DEPTH symbols; a symbol is the largest of WIDTH random projections in
-absolute value, with its sign, so that near vectors share symbols. Vectors that share a string in a tree are one cell
-of it, and a cell is compared in full whatever its size: up to CELL vectors by sign sketches, and pairs that pass are
+Each tree gives a vector a string of symbols; a symbol is the largest of WIDTH random projections in absolute value,
+with its sign, so that near vectors share symbols. Strings grow with the collection, by a symbol for every 2 * WIDTH
+times as many vectors, so that cells keep their size, and the trees with them, so that near vectors meet as often (see
+:func:`forest`). Vectors that share a string in a tree are one cell of it, and a cell is compared in full whatever its size: up to CELL vectors by sign sketches, and pairs that pass are
 checked exactly; a larger one in pairs of stripes, by the vectors themselves, of which each keeps its nearest in every
 pair of stripes. The nearest of all are among these, so a crowd loses nothing and gives no more pairs than it has to.
-The work grows with the square of a cell.
+The work grows with the square of a crowd.
 
-Vectors equal up to length are one class with its least id as representative, so copies never meet in pairs.
+Vectors equal up to a power of two are one class with its least id as representative, so copies never meet in pairs;
+vectors that are only nearly equal are compared like any others.
 """
 
 from __future__ import annotations
@@ -23,7 +25,12 @@ from pyspark.sql.window import Window
 
 from corpusloom.session import materialize, maybe_broadcast
 
-TREES, DEPTH, WIDTH, BITS = 32, 2, 32, 256
+#: Trees and symbols of a string up to PER_CELL * (2 * WIDTH) ** DEPTH vectors, projections of a symbol, bits of a sketch.
+TREES, DEPTH, WIDTH, BITS, PER_CELL = 32, 2, 32, 256, 250
+#: Places to which cosines are equal: below them the order of the terms in a sum decides.
+PLACES = 9
+#: How often vectors at LEAST_COSINE share a symbol (measured for WIDTH), which sets how many more trees a symbol takes.
+SHARED = 0.4
 #: Most vectors of a cell that are compared by sketches; vectors in a stripe of a larger cell; rows of a block of it.
 CELL, STRIPE, BLOCK = 1_000, 20_000, 512
 NEIGHBOURS, LEAST_COSINE = 5, 0.8
@@ -31,21 +38,29 @@ NEIGHBOURS, LEAST_COSINE = 5, 0.8
 APART = int(BITS * (q := np.arccos(LEAST_COSINE) / np.pi) + 3 * np.sqrt(BITS * q * (1 - q)))
 
 _SCHEMA = "embedder string, dim int, h1 bigint, h2 bigint, id string, sketch binary, codes binary"
-_PROJECTIONS: dict[int, np.ndarray] = {}
+_PROJECTIONS: dict[tuple[int, int], np.ndarray] = {}
 
 
-def _projection(dim: int) -> np.ndarray:
-    if dim not in _PROJECTIONS:
+def forest(n: int) -> tuple[int, int]:
+    """(trees, symbols of a string) for ``n`` vectors."""
+    depth = DEPTH
+    while n > PER_CELL * (2 * WIDTH) ** depth:
+        depth += 1
+    return int(np.ceil(TREES / SHARED ** (depth - DEPTH))), depth
+
+
+def _projection(dim: int, symbols: int) -> np.ndarray:
+    if (dim, symbols) not in _PROJECTIONS:
         _PROJECTIONS.clear()
-        _PROJECTIONS[dim] = np.random.default_rng(dim).standard_normal((dim, TREES * DEPTH * WIDTH + BITS), np.float32)
-    return _PROJECTIONS[dim]
+        _PROJECTIONS[dim, symbols] = np.random.default_rng(dim).standard_normal((dim, symbols * WIDTH + BITS), np.float32)
+    return _PROJECTIONS[dim, symbols]
 
 
-def describe(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sign sketches, codes) of unit vectors: arrays of BITS / 8 and TREES * DEPTH bytes a row."""
-    seen = unit @ _projection(unit.shape[1])
+def describe(unit: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sign sketches, symbols) of unit vectors: arrays of BITS / 8 and ``symbols`` bytes a row."""
+    seen = unit @ _projection(unit.shape[1], symbols)
     signs = np.packbits(seen[:, -BITS:] > 0, axis=1)
-    cells = seen[:, :-BITS].reshape(-1, TREES * DEPTH, WIDTH)
+    cells = seen[:, :-BITS].reshape(-1, symbols, WIDTH)
     top = np.abs(cells).argmax(2)
     positive = np.take_along_axis(cells, top[:, :, None], 2)[:, :, 0] > 0
     return signs, (top * 2 + positive).astype(np.uint8)
@@ -56,11 +71,11 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * width).tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
-def index(vectors: DataFrame) -> DataFrame:
-    """Rows of _SCHEMA, one for each row of ``vectors`` (id, embedder, embedding) that can be compared.
+def index(vectors: DataFrame, symbols: int) -> DataFrame:
+    """Rows of _SCHEMA with ``symbols`` codes, one for each row of ``vectors`` (id, embedder, embedding) that can be compared.
 
     Null, empty, all-zero and non-finite embeddings and such with null entries are left out; a null embedder is one of
-    its own. (h1, h2) hashes the direction: equal for equal vectors and scaled copies.
+    its own. (h1, h2) hashes the vector without its scale: equal for equal vectors and copies scaled by powers of two.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,13 +90,14 @@ def index(vectors: DataFrame) -> DataFrame:
                     values = flat[(starts[rows][:, None] + np.arange(dim)).ravel()].reshape(-1, dim)
                     peak = np.abs(values).max(1)
                     good = np.isfinite(values).all(1) & (peak > 0)
-                    rows, values = rows[good], values[good] / peak[good][:, None]
+                    rows, values = rows[good], values[good]
                     if not len(rows):
                         continue
+                    values = np.ldexp(values, -np.frexp(peak[good])[1][:, None])  # exact, and no square overflows
                     unit = values / np.linalg.norm(values, axis=1, keepdims=True)
-                    digests = [xxhash.xxh128_digest(v) for v in np.round(values, 5) + np.float32(0)]
+                    digests = [xxhash.xxh128_digest(v) for v in values + np.float32(0)]
                     h1, h2 = (np.frombuffer(b"".join(d[k : k + 8] for d in digests), np.int64) for k in (0, 8))
-                    signs, codes = describe(unit)
+                    signs, codes = describe(unit, symbols)
                     keep = pa.array(rows)
                     yield pa.RecordBatch.from_arrays([part.column(1).take(keep), pa.array(np.full(len(rows), dim, np.int32)), pa.array(h1), pa.array(h2), part.column(0).take(keep), _binary(signs), _binary(codes)], names=["embedder", "dim", "h1", "h2", "id", "sketch", "codes"])
 
@@ -125,10 +141,10 @@ def nearest_in_tile(data: np.ndarray, count: int, least: float) -> tuple[np.ndar
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def candidate_pairs(classes: DataFrame, vectors: DataFrame, neighbours: int = NEIGHBOURS, least: float = LEAST_COSINE) -> DataFrame:
+def candidate_pairs(classes: DataFrame, vectors: DataFrame, trees: int, depth: int, neighbours: int = NEIGHBOURS, least: float = LEAST_COSINE) -> DataFrame:
     """Rows (a, b), a < b: keys of representatives that may be near in a cell of a tree; each pair once."""
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    strings = classes.select("embedder", "dim", "key", "sketch", "codes", trees).select("embedder", "dim", "tree", "key", "sketch", F.expr(f"substring(codes, tree * {DEPTH} + 1, {DEPTH})").alias("cell"))
+    trees = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    strings = classes.select("embedder", "dim", "key", "sketch", "codes", trees).select("embedder", "dim", "tree", "key", "sketch", F.expr(f"substring(codes, tree * {depth} + 1, {depth})").alias("cell"))
     site = ["embedder", "dim", "tree", "cell"]
     crowded = maybe_broadcast(materialize(strings.groupBy(*site).agg(F.count("*").alias("n")).where(F.col("n") > CELL)))
     rows = strings.withColumns({"tile": F.lit(-1), "embedding": F.lit(None).cast("array<float>")})
@@ -161,7 +177,7 @@ def candidate_pairs(classes: DataFrame, vectors: DataFrame, neighbours: int = NE
         cells, keys = cells_of(table), table.column("key").to_numpy()
         cold = np.asarray(table.column("tile")) < 0
         few = table.filter(pa.array(cold))
-        codes = np.frombuffer(b"".join(few.column("cell").to_pylist()), np.uint8).reshape(-1, DEPTH)
+        codes = np.frombuffer(b"".join(few.column("cell").to_pylist()), np.uint8).reshape(-1, depth)
         sketches = np.frombuffer(b"".join(few.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         yield batch_of(keys[cold], *near_in_order(cells[cold], codes, sketches))
         for cell in np.unique(cells[~cold]).tolist():
@@ -219,10 +235,11 @@ def similar(vectors: DataFrame, neighbours: int = NEIGHBOURS, least: float = LEA
     deliveries count once; of equal similarities the smaller id comes first. A class of equal vectors lists only its
     first ids, which are the most similar of all its members, so a class of n vectors gives about n * neighbours rows.
     """
-    known = materialize(index(vectors).withColumn("key", F.xxhash64("id")))
+    trees, depth = forest(vectors.where(F.col("embedding").isNotNull()).count())
+    known = materialize(index(vectors, trees * depth).withColumn("key", F.xxhash64("id")))
     which = ["embedder", "dim", "h1", "h2"]
     classes = materialize(known.groupBy(*which).agg(F.min_by(F.struct("id", "key", "sketch", "codes"), "id").alias("r"), F.max("id").alias("last")).select(*which, "r.*", "last"))
-    close = materialize(cosines(materialize(candidate_pairs(classes, vectors, neighbours, least)), vectors, least))
+    close = materialize(cosines(materialize(candidate_pairs(classes, vectors, trees, depth, neighbours, least)), vectors, least).withColumn("cosine", F.round("cosine", PLACES)))
 
     several = classes.where(F.col("last") != F.col("id")).select(*which)
     members = known.join(several, which, "left_semi").select(*which, "id").distinct()

@@ -254,12 +254,28 @@ def test_similar_vectors_against_brute_force(spark, monkeypatch):
     assert len(hot & want) >= 0.9 * len(want)
 
 
-def test_groups_descend_and_ascend():
-    rng = np.random.default_rng(1)
-    codes = np.sort(rng.integers(0, 2, size=(300, vectors.DEPTH)).astype(np.uint8).view("S5").ravel()).view(np.uint8).reshape(-1, vectors.DEPTH) if False else np.zeros((300, vectors.DEPTH), np.uint8)
-    sketches = np.zeros((300, vectors.BITS // 64), np.uint64)
+def test_a_group_is_compared_in_full():
+    codes, sketches = np.zeros((300, 2), np.uint8), np.zeros((300, vectors.BITS // 64), np.uint64)
     left, right = vectors.near_in_order(np.zeros(300, np.int64), codes, sketches)
-    assert len(set(zip(left.tolist(), right.tolist(), strict=True))) == 300 * 299 // 2  # one full-depth group: every pair
+    assert len(set(zip(left.tolist(), right.tolist(), strict=True))) == 300 * 299 // 2
+
+
+def test_strings_grow_with_the_collection():
+    assert vectors.forest(0) == vectors.forest(1_000_000) == (32, 2)
+    trees, depth = vectors.forest(50_000_000)
+    assert depth == 3 and trees == 80
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(4000, 64)).astype(np.float32)
+    b = 0.82 * a + np.sqrt(1 - 0.82**2) * rng.normal(size=a.shape).astype(np.float32)
+    codes = [vectors.describe(x, trees * depth)[1].reshape(len(x), trees, depth) for x in (a, b)]
+    assert (codes[0] == codes[1]).all(2).any(1).mean() > 0.97
+
+
+def test_nearly_equal_vectors_are_no_copies(spark):
+    rows = [("a", [1.0, 0.0, 0.5]), ("b", [2.0, 0.0, 1.0]), ("c", [1.0, 1e-6, 0.5]), ("d", [-0.0, 1.0, 0.0]), ("e", [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame([(i, "e", v) for i, v in rows], "id string, embedder string, embedding array<float>")
+    found = {r["id"]: (r["h1"], r["h2"]) for r in vectors.index(df, 4).collect()}
+    assert found["a"] == found["b"] != found["c"] and found["d"] == found["e"]
 
 
 def crowd(n=3000, dim=96, seed=3):
