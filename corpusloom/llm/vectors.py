@@ -14,12 +14,13 @@ vectors that are only nearly equal are compared like any others.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -71,6 +72,18 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * width).tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
+@contextmanager
+def _short_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Arrow batches of ``rows`` for what is computed within: rows of vectors are wide."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def index(vectors: DataFrame, symbols: int) -> DataFrame:
     """Rows of _SCHEMA with ``symbols`` codes, one for each row of ``vectors`` (id, embedder, embedding) that can be compared.
 
@@ -104,17 +117,13 @@ def index(vectors: DataFrame, symbols: int) -> DataFrame:
     return vectors.where(F.col("id").isNotNull()).select("id", F.coalesce("embedder", F.lit("")).alias("embedder"), "embedding").mapInArrow(run, _SCHEMA)
 
 
-def near_in_order(cells: np.ndarray, codes: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions that have a cell and a string in common and whose sketches are near.
-
-    ``cells`` numbers the trees' cells, ``codes`` are the strings, sorted within each cell.
-    """
+def near_in_order(cells: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions in one cell whose sketches are near; ``cells`` names the cell of each, equal ones in a row."""
     n = len(cells)
     found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    change = (cells[1:] != cells[:-1]) | (codes[1:] != codes[:-1]).any(1)
-    start = np.concatenate([[0], np.flatnonzero(change) + 1])
+    start = np.concatenate([[0], np.flatnonzero(cells[1:] != cells[:-1]) + 1])
     size = np.diff(np.concatenate([start, [n]]))
-    after = np.repeat(start + size, size) - np.arange(n) - 1  # how many of its group follow each row
+    after = np.repeat(start + size, size) - np.arange(n) - 1  # how many of its cell follow each row
     at, k = np.flatnonzero(after > 0), 1
     while len(at):
         for block in range(0, len(at), 1 << 18):
@@ -141,51 +150,21 @@ def nearest_in_tile(data: np.ndarray, count: int, least: float) -> tuple[np.ndar
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def candidate_pairs(classes: DataFrame, vectors: DataFrame, trees: int, depth: int, neighbours: int = NEIGHBOURS, least: float = LEAST_COSINE) -> DataFrame:
-    """Rows (a, b), a < b: keys of representatives that may be near in a cell of a tree; each pair once."""
-    trees = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    strings = classes.select("embedder", "dim", "key", "sketch", "codes", trees).select("embedder", "dim", "tree", "key", "sketch", F.expr(f"substring(codes, tree * {depth} + 1, {depth})").alias("cell"))
-    site = ["embedder", "dim", "tree", "cell"]
-    crowded = maybe_broadcast(materialize(strings.groupBy(*site).agg(F.count("*").alias("n")).where(F.col("n") > CELL)))
-    rows = strings.withColumns({"tile": F.lit(-1), "embedding": F.lit(None).cast("array<float>")})
-    if not crowded.isEmpty():
-        # Every pair of stripes of a crowded cell is one task's work, with the vectors.
-        stripes = F.ceil(F.col("n") / STRIPE).cast("int")
-        stripe = F.pmod("key", stripes).cast("int")
-        tiles = F.transform(F.sequence(F.lit(0), stripes - 1), lambda k: F.least(k, stripe) * 100_000 + F.greatest(k, stripe))
-        hot = strings.join(crowded, site).select(*site, "key", F.lit(None).cast("binary").alias("sketch"), F.explode(tiles).alias("tile"))
-        own = vectors.select(F.xxhash64("id").alias("key"), F.size("embedding").alias("dim"), F.col("embedding").cast("array<float>").alias("embedding"))
-        own = own.join(hot.select("key", "dim").distinct(), ["key", "dim"], "left_semi").dropDuplicates(["key", "dim"])
-        rows = rows.join(crowded, site, "left_anti").unionByName(hot.join(own, ["key", "dim"]))
-    place = [*site, "tile"]
-    placed = rows.repartition(*place).sortWithinPartitions(*place, "key")
-
-    def cells_of(table: pa.Table) -> np.ndarray:
-        """Numbers of runs of equal (embedder, dim, tree, cell, tile)."""
-        change = np.zeros(table.num_rows, bool)
-        for name in place:
-            column = table.column(name).combine_chunks()
-            change[1:] |= np.asarray(pa.compute.not_equal(column[1:], column[:-1]))
-        return np.cumsum(change)
-
-    def batch_of(keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+def _by_cell(rows: DataFrame, cell: list[str], value: str, near: Callable[[np.ndarray, np.ndarray, pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Rows (a, b), a < b, of ``near`` over whole cells of ``rows`` (*cell, key, value): positions of pairs by cell numbers and values.
+
+    One number of 64 bits stands for a cell, by which rows are shuffled and sorted: with the 10 ** 8 cells of 25
+    million vectors, two share one with a chance of 0.0003. A task holds one cell, or as many small ones as fit.
+    """
+    placed = rows.select(F.xxhash64(*cell).alias("cell"), "key", value).repartition("cell").sortWithinPartitions("cell", "key")
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        keys = table.column("key").to_numpy()
+        left, right = near(table.column("cell").to_numpy(), keys, table)
         a, b = np.minimum(keys[left], keys[right]), np.maximum(keys[left], keys[right])
         both = np.unique(np.stack([a, b], 1)[a != b], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        cells, keys = cells_of(table), table.column("key").to_numpy()
-        cold = np.asarray(table.column("tile")) < 0
-        few = table.filter(pa.array(cold))
-        codes = np.frombuffer(b"".join(few.column("cell").to_pylist()), np.uint8).reshape(-1, depth)
-        sketches = np.frombuffer(b"".join(few.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        yield batch_of(keys[cold], *near_in_order(cells[cold], codes, sketches))
-        for cell in np.unique(cells[~cold]).tolist():
-            start, end = np.searchsorted(cells, [cell, cell + 1]).tolist()
-            data = pa.concat_arrays([c.flatten() for c in table.column("embedding").slice(start, end - start).chunks])
-            # Twice the neighbours: room for equal cosines, which single precision cannot order.
-            yield batch_of(keys[start:end], *nearest_in_tile(data.to_numpy().reshape(end - start, -1), 2 * neighbours, least))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         count = 0
@@ -194,16 +173,50 @@ def candidate_pairs(classes: DataFrame, vectors: DataFrame, trees: int, depth: i
             count += batch.num_rows
             if count >= 2 * STRIPE:
                 table = pa.Table.from_batches(held)
-                cells = cells_of(table)
-                last = int(np.searchsorted(cells, cells[-1]))
+                cells = table.column("cell").to_numpy()
+                last = int(np.flatnonzero(cells == cells[-1])[0])
                 if last:
-                    yield from pairs(table.slice(0, last))
+                    yield pairs(table.slice(0, last))
                 rest = table.slice(last)
                 held, count = rest.to_batches(), rest.num_rows
         if count:
-            yield from pairs(pa.Table.from_batches(held))
+            yield pairs(pa.Table.from_batches(held))
+
+    return placed.mapInArrow(run, "a bigint, b bigint")
+
+
+def candidate_pairs(classes: DataFrame, vectors: DataFrame, trees: int, depth: int, neighbours: int = NEIGHBOURS, least: float = LEAST_COSINE) -> DataFrame:
+    """Rows (a, b), a < b: keys of representatives that may be near in a cell of a tree; each pair once."""
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    strings = classes.select("embedder", "dim", "key", "sketch", "codes", numbers).select("embedder", "dim", "tree", "key", "sketch", F.expr(f"substring(codes, tree * {depth} + 1, {depth})").alias("cell"))
+    site = ["embedder", "dim", "tree", "cell"]
+    crowded = maybe_broadcast(materialize(strings.groupBy(*site).agg(F.count("*").alias("n")).where(F.col("n") > CELL)))
+
+    def by_sketch(cells: np.ndarray, keys: np.ndarray, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return near_in_order(cells, np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64))
+
+    if crowded.isEmpty():
+        return _by_cell(strings, site, "sketch", by_sketch).distinct()
+
+    def by_vector(cells: np.ndarray, keys: np.ndarray, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        start = np.concatenate([[0], np.flatnonzero(cells[1:] != cells[:-1]) + 1, [len(cells)]]).tolist()
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for first, end in zip(start, start[1:], strict=False):
+            data = pa.concat_arrays([c.flatten() for c in table.column("embedding").slice(first, end - first).chunks])
+            # Twice the neighbours: room for equal cosines, which single precision cannot order.
+            left, right = nearest_in_tile(data.to_numpy().reshape(end - first, -1), 2 * neighbours, least)
+            found.append((first + left, first + right))
+        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
-    return placed.select(*place, "key", "sketch", "embedding").mapInArrow(run, "a bigint, b bigint").distinct()
+    # Every pair of stripes of a crowded cell is one task's work, with the vectors.
+    stripes = F.ceil(F.col("n") / STRIPE).cast("int")
+    stripe = F.pmod("key", stripes).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), stripes - 1), lambda k: F.least(k, stripe) * 100_000 + F.greatest(k, stripe))
+    hot = strings.join(crowded, site).select(*site, "key", F.explode(tiles).alias("tile"))
+    own = vectors.select(F.xxhash64("id").alias("key"), F.size("embedding").alias("dim"), F.col("embedding").cast("array<float>").alias("embedding"))
+    own = own.join(hot.select("key", "dim").distinct(), ["key", "dim"], "left_semi").dropDuplicates(["key", "dim"])
+    cold = _by_cell(strings.join(crowded, site, "left_anti"), site, "sketch", by_sketch)
+    return cold.unionByName(_by_cell(hot.join(own, ["key", "dim"]), [*site, "tile"], "embedding", by_vector)).distinct()
 
 
 def cosines(pairs: DataFrame, vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
@@ -236,10 +249,13 @@ def similar(vectors: DataFrame, neighbours: int = NEIGHBOURS, least: float = LEA
     first ids, which are the most similar of all its members, so a class of n vectors gives about n * neighbours rows.
     """
     trees, depth = forest(vectors.where(F.col("embedding").isNotNull()).count())
-    known = materialize(index(vectors, trees * depth).withColumn("key", F.xxhash64("id")))
+    with _short_batches(vectors.sparkSession):
+        known = materialize(index(vectors, trees * depth).withColumn("key", F.xxhash64("id")))
     which = ["embedder", "dim", "h1", "h2"]
     classes = materialize(known.groupBy(*which).agg(F.min_by(F.struct("id", "key", "sketch", "codes"), "id").alias("r"), F.max("id").alias("last")).select(*which, "r.*", "last"))
-    close = materialize(cosines(materialize(candidate_pairs(classes, vectors, trees, depth, neighbours, least)), vectors, least).withColumn("cosine", F.round("cosine", PLACES)))
+    pairs = materialize(candidate_pairs(classes, vectors, trees, depth, neighbours, least))
+    with _short_batches(vectors.sparkSession):
+        close = materialize(cosines(pairs, vectors, least).withColumn("cosine", F.round("cosine", PLACES)))
 
     several = classes.where(F.col("last") != F.col("id")).select(*which)
     members = known.join(several, which, "left_semi").select(*which, "id").distinct()

@@ -255,8 +255,7 @@ def test_similar_vectors_against_brute_force(spark, monkeypatch):
 
 
 def test_a_group_is_compared_in_full():
-    codes, sketches = np.zeros((300, 2), np.uint8), np.zeros((300, vectors.BITS // 64), np.uint64)
-    left, right = vectors.near_in_order(np.zeros(300, np.int64), codes, sketches)
+    left, right = vectors.near_in_order(np.zeros(300, np.int64), np.zeros((300, vectors.BITS // 64), np.uint64))
     assert len(set(zip(left.tolist(), right.tolist(), strict=True))) == 300 * 299 // 2
 
 
@@ -265,10 +264,10 @@ def test_strings_grow_with_the_collection():
     trees, depth = vectors.forest(50_000_000)
     assert depth == 3 and trees == 80
     rng = np.random.default_rng(4)
-    a = rng.normal(size=(4000, 64)).astype(np.float32)
+    a = rng.normal(size=(2000, 512)).astype(np.float32)
     b = 0.82 * a + np.sqrt(1 - 0.82**2) * rng.normal(size=a.shape).astype(np.float32)
     codes = [vectors.describe(x, trees * depth)[1].reshape(len(x), trees, depth) for x in (a, b)]
-    assert (codes[0] == codes[1]).all(2).any(1).mean() > 0.97
+    assert (codes[0] == codes[1]).all(2).any(1).mean() > 0.96
 
 
 def test_nearly_equal_vectors_are_no_copies(spark):
