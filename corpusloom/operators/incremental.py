@@ -1,19 +1,22 @@
 """Processing only new or changed records with a Merkle tree over key ranges.
 
-Every record has a digest of its key and content. Keys are ordered by a 64-bit hash, and ``2 ** (FANOUT_BITS * DEPTH)`` equal
-ranges of that order are the leaves of a tree; a node's digest combines the digests below it. Two trees of the same
-shape are compared from the root down: only below nodes whose digests differ are children looked at, and only the
-records of leaves that differ are read and compared. The tree has at most 4,096 leaves and 65 nodes above them whatever
-the number of records, which is the proven bound for the broadcasts here.
-
-A run publishes its output, the record digests and the tree in one new version folder and then swaps one pointer file
-by an atomic rename. A run that dies before the rename has published nothing, and the next run finds the same
-differences again; after the rename nothing of that run is found again.
+Every record has a digest of its key and content. Keys are ordered by a 64-bit hash, and equal ranges of that order are
+the leaves of a tree; a node's digest combines the digests below it. Two trees are compared from the root down: only
+below nodes whose digests differ are children looked at, and only the records of leaves that differ are read and
+compared. The depth of the tree follows from the number of records (about LEAF_RECORDS a leaf), so that a leaf stays
+small however many there are. Digests are stored sorted by their place in the order, so the files and row groups of
+leaves that do not differ are skipped by their statistics.
+
+A run publishes its output, the digests (not the contents) of all records and the tree in one new version folder and
+then swaps one pointer file by an atomic rename. A run that dies before the rename has published nothing, and the next
+run finds the same differences again (what was left is removed a day later); after the rename nothing of that run is found again.
+Of two runs that started from one version, only the first can publish.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -21,10 +24,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize
+from corpusloom.session import materialize, maybe_broadcast
 
 FANOUT_BITS = 6
 DEPTH = 2
+#: Records a leaf should have at most in the mean; published versions that are kept, the last one among them.
+LEAF_RECORDS, KEPT_VERSIONS = 20_000, 3
+
+
+def depth_for(n: int) -> int:
+    """The least depth, DEPTH or more, at which ``n`` records are at most LEAF_RECORDS a leaf in the mean."""
+    return max(DEPTH, math.ceil(math.log(max(1, n) / LEAF_RECORDS, 2**FANOUT_BITS)))
 
 
 def leaf_of(key: Column, depth: int = DEPTH) -> Column:
@@ -58,52 +68,67 @@ def build_tree(records: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def differing_leaves(current: DataFrame, saved: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Rows (leaf): leaves under which two trees differ, found by descending only below nodes that differ."""
+    """Rows (leaf): leaves under which two trees of one depth differ, found by descending only below nodes that differ."""
 
     def differing(level: int, parents: DataFrame | None) -> DataFrame:
         sides = []
         for tree, name in ((current, "a"), (saved, "b")):
             side = tree.where(F.col("level") == level).select("node", F.col("digest").alias(name))
             if parents is not None:
-                side = side.join(F.broadcast(parents), F.shiftrightunsigned(side["node"], FANOUT_BITS) == parents["parent"], "left_semi")
+                side = side.join(parents, F.shiftrightunsigned(side["node"], FANOUT_BITS) == parents["parent"], "left_semi")
             sides.append(side)
         both = sides[0].join(sides[1], "node", "full_outer")
         return both.where(~F.col("a").eqNullSafe(F.col("b"))).select("node")
 
     nodes = differing(0, None)
     for level in range(1, depth + 1):
-        nodes = differing(level, materialize(nodes.select(F.col("node").alias("parent"))))
+        nodes = differing(level, maybe_broadcast(materialize(nodes.select(F.col("node").alias("parent")))))
     return nodes.select(F.col("node").alias("leaf"))
 
 
-def changed_records(current: DataFrame, saved: DataFrame, leaves: DataFrame, content: list[str]) -> DataFrame:
-    """Rows (key, change, *content) of the leaves that differ: change is added, changed or removed.
+def changed_keys(current: DataFrame, saved: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Rows (key, change) of the leaves that differ: change is added, changed or removed.
 
-    ``content`` is the current side's, null for a removed key.
+    Both sides have (key, leaf, digest). The bounds of the leaves that differ are a filter that the scan can use.
     """
-    now = current.join(F.broadcast(leaves), "leaf", "left_semi").select("key", F.col("digest").alias("now"), *content)
-    then = saved.join(F.broadcast(leaves), "leaf", "left_semi").select("key", F.col("digest").alias("then"))
-    both = now.join(then, "key", "full_outer").where(~F.col("now").eqNullSafe(F.col("then")))
+    low, high = leaves.agg(F.min("leaf"), F.max("leaf")).first()
+    few = maybe_broadcast(leaves)
+
+    def side(records: DataFrame, name: str) -> DataFrame:
+        within = F.lit(False) if low is None else F.col("leaf").between(low, high)
+        return records.where(within).join(few, "leaf", "left_semi").select("key", F.col("digest").alias(name))
+
+    both = side(current, "now").join(side(saved, "then"), "key", "full_outer").where(~F.col("now").eqNullSafe(F.col("then")))
     change = F.when(F.col("then").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed")
-    return both.select("key", change.alias("change"), *content)
+    return both.select("key", change.alias("change"))
 
 
-def merkle_diff(current: DataFrame, saved: DataFrame, key: str, content: list[str], saved_content: list[str] | None = None, depth: int = DEPTH) -> DataFrame:
+def with_content(changes: DataFrame, records: DataFrame, key: str, content: list[str]) -> DataFrame:
+    """Rows (key, change, *content) of ``changes`` (key, change): ``content`` is that of ``records``, null for a removed key."""
+    return changes.join(records.select(F.col(key).alias("key"), *content), "key", "left")
+
+
+def merkle_diff(current: DataFrame, saved: DataFrame, key: str, content: list[str], saved_content: list[str] | None = None, depth: int | None = None) -> DataFrame:
     """Rows (key, change, *content): records of ``current`` that are not in ``saved`` with equal content.
 
     Both tables have one row per key; ``saved_content`` names the saved side's columns where they differ. Null keys
     are dropped (they cannot be carried through). Either table may be empty.
     """
-    now = materialize(record_digests(current.where(F.col(key).isNotNull()), key, content, depth))
-    then = saved.where(F.col(key).isNotNull()).select(key, *[F.col(b).alias(a) for a, b in zip(content, saved_content or content, strict=True)])
-    then = materialize(record_digests(then, key, content, depth).select("key", "leaf", "digest"))
-    trees = [materialize(build_tree(side, depth)) for side in (now, then)]
-    return changed_records(now, then, materialize(differing_leaves(*trees, depth)), content)
+    current, saved = current.where(F.col(key).isNotNull()), saved.where(F.col(key).isNotNull())
+    depth = depth_for(current.count()) if depth is None else depth
+    then = saved.select(key, *[F.col(b).alias(a) for a, b in zip(content, saved_content or content, strict=True)])
+    sides = [materialize(record_digests(side, key, content, depth).select("key", "leaf", "digest")) for side in (current, then)]
+    trees = [materialize(build_tree(side, depth)) for side in sides]
+    return with_content(changed_keys(*sides, materialize(differing_leaves(*trees, depth))), current, key, content)
 
 
 # ---------------------------------------------------------------- durable runs
 
 
+class Outrun(RuntimeError):
+    """Another run has published since this one began."""
+
+
 @dataclass(frozen=True)
 class Store:
     """Published versions under ``root``: ``v-<id>/{output,records,tree}`` and the pointer file ``CURRENT``."""
@@ -118,53 +143,90 @@ class Store:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def versions(self) -> list[str]:
-        """Published version folders, oldest first; empty before the first run."""
+    def current(self) -> dict:
+        """The pointer: {versions: those kept, oldest first; depth: of the last one's tree; number: of runs published}."""
         if not self._fs().exists(self._path("CURRENT")):
-            return []
+            return {"versions": [], "depth": DEPTH, "number": 0}
         stream = self._fs().open(self._path("CURRENT"))
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return json.loads(text)["versions"]
+        return json.loads(text)
 
-    def publish(self, versions: list[str]) -> None:
-        """Swap the pointer: written beside it, then renamed over it in one step."""
-        jvm = self.spark._jvm
+    def versions(self) -> list[str]:
+        """Published version folders that are kept, oldest first; empty before the first run."""
+        return self.current()["versions"]
+
+    def publish(self, before: dict, version: str, depth: int) -> None:
+        """Make ``version`` the last one, if the pointer still is ``before``; else raise Outrun.
+
+        The turn is taken by creating a file that only one run can create; the pointer is then written beside the old
+        one and renamed over it in one step. A turn whose run died before the rename is taken over by the next one,
+        once the file is older than an hour.
+        """
+        jvm, files = self.spark._jvm, self._fs()
+        turn = self._path(f".TURN.{before['number'] + 1}")
+        if files.exists(turn) and jvm.java.lang.System.currentTimeMillis() - files.getFileStatus(turn).getModificationTime() > 3_600_000:
+            files.delete(turn, False)
+        if not files.createNewFile(turn):
+            raise Outrun(version)
+        if self.current() != before:
+            files.delete(turn, False)
+            raise Outrun(version)
         beside = self._path(f".CURRENT.{uuid.uuid4().hex}")
-        stream = self._fs().create(beside, True)
-        stream.write(bytearray(json.dumps({"versions": versions}), "utf-8"))
+        stream = files.create(beside, True)
+        kept = [*before["versions"], version][-KEPT_VERSIONS:]
+        stream.write(bytearray(json.dumps({"versions": kept, "depth": depth, "number": before["number"] + 1}), "utf-8"))
         stream.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs().getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         option = jvm.org.apache.hadoop.fs.Options.Rename
         options = self.spark.sparkContext._gateway.new_array(option, 1)
         options[0] = option.OVERWRITE
         context.rename(beside, self._path("CURRENT"), options)
+        files.delete(turn, False)
+
+    def sweep(self, minutes: float = 24 * 60) -> list[str]:
+        """Remove version folders that the pointer does not name and that are older than ``minutes``: failed runs and old versions."""
+        known, files = set(self.versions()), self._fs()
+        if not files.exists(self._path("")):
+            return []
+        latest = self.spark._jvm.java.lang.System.currentTimeMillis() - minutes * 60_000
+        gone = [s.getPath() for s in files.listStatus(self._path("")) if s.getPath().getName().startswith("v-") and s.getPath().getName() not in known and s.getModificationTime() <= latest]
+        for path in gone:
+            files.delete(path, True)
+        return sorted(path.getName() for path in gone)
 
 
-def run_incremental(store: Store, records: DataFrame, key: str, content: list[str], process: Callable[[DataFrame], DataFrame], depth: int = DEPTH) -> DataFrame:
+def run_incremental(store: Store, records: DataFrame, key: str, content: list[str], process: Callable[[DataFrame], DataFrame], depth: int | None = None) -> DataFrame:
     """Process the records added or changed since the last published run, publish, and return this run's output.
 
     ``process`` gets rows (key, change, *content). Its output, the digests of all current records and their tree are
-    written before the pointer moves, so a failure anywhere leaves the last published state as it was.
+    written before the pointer moves, so a failure anywhere leaves the last published state as it was. Digests are
+    kept sorted by leaf. Where the depth has grown, the saved digests get their leaves anew: their keys are kept.
     """
-    spark, versions = store.spark, store.versions()
-    here = f"v-{len(versions):06d}-{uuid.uuid4().hex[:8]}"
+    spark, before = store.spark, store.current()
+    here = f"v-{before['number']:06d}-{uuid.uuid4().hex[:8]}"
     base = f"{store.root}/{here}"
-    now = record_digests(records.where(F.col(key).isNotNull()), key, content, depth)
-    now.write.parquet(f"{base}/records")
+    records = records.where(F.col(key).isNotNull())
+    depth = max(before["depth"], depth_for(records.count())) if depth is None else depth
+    digests = record_digests(records, key, content, depth).select("key", "leaf", "digest")
+    digests.repartitionByRange("leaf").sortWithinPartitions("leaf").write.parquet(f"{base}/records")
     now = spark.read.parquet(f"{base}/records")
     build_tree(now, depth).write.parquet(f"{base}/tree")
     tree = spark.read.parquet(f"{base}/tree")
-    if versions:
-        then = spark.read.parquet(f"{store.root}/{versions[-1]}/records").select("key", "leaf", "digest")
-        saved = spark.read.parquet(f"{store.root}/{versions[-1]}/tree")
+    if before["versions"]:
+        last = f"{store.root}/{before['versions'][-1]}"
+        then, saved = spark.read.parquet(f"{last}/records"), spark.read.parquet(f"{last}/tree")
+        if before["depth"] != depth:
+            then = then.withColumn("leaf", leaf_of(F.col("key"), depth))
+            saved = materialize(build_tree(then, depth))
     else:
-        then, saved = now.select("key", "leaf", "digest").limit(0), tree.limit(0)
-    leaves = materialize(differing_leaves(tree, saved, depth))
-    process(changed_records(now, then, leaves, content)).write.parquet(f"{base}/output")
-    store.publish([*versions, here])
+        then, saved = now.limit(0), tree.limit(0)
+    changes = changed_keys(now, then, materialize(differing_leaves(tree, saved, depth)))
+    process(with_content(changes, records, key, content)).write.parquet(f"{base}/output")
+    store.publish(before, here, depth)
+    store.sweep()
     return spark.read.parquet(f"{base}/output")
 
 

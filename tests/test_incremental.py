@@ -57,6 +57,32 @@ def test_runs_skip_and_repeat_nothing_through_a_failure(spark, tmp_path):
     assert run(second) == set()
 
 
+def test_of_two_runs_from_one_version_one_publishes(spark, tmp_path):
+    store = I.Store(spark, str(tmp_path / "store"))
+    made = rows(spark, [("a", "1", 0)])
+
+    def overtaken(df):
+        I.run_incremental(store, made, "id", ["body"], lambda x: x)
+        return df
+
+    with pytest.raises(I.Outrun):
+        I.run_incremental(store, made, "id", ["body"], overtaken)
+    assert len(store.versions()) == 1 and store.current()["number"] == 1
+    left = store.sweep(minutes=0)
+    assert len(left) == 1 and left[0] not in store.versions()
+    assert I.run_incremental(store, made, "id", ["body"], lambda x: x).count() == 0
+
+
+def test_a_deeper_tree_finds_the_same(spark, tmp_path):
+    store = I.Store(spark, str(tmp_path / "store"))
+    made = [(f"k{n}", "v", n) for n in range(200)]
+    assert I.run_incremental(store, rows(spark, made), "id", ["body"], lambda x: x, depth=2).count() == 200
+    changed = rows(spark, [("k3", "w", 3), *made[4:]])
+    assert {tuple(r) for r in I.run_incremental(store, changed, "id", ["body"], lambda x: x.select("key", "change"), depth=3).collect()} == {("k3", "changed"), ("k0", "removed"), ("k1", "removed"), ("k2", "removed")}
+    assert set(spark.read.parquet(f"{store.root}/{store.versions()[-1]}/records").columns) == {"key", "leaf", "digest"}
+    assert [I.depth_for(n) for n in (0, 10**6, 10**8, 10**10)] == [2, 2, 3, 4]
+
+
 def test_stages_on_dirty_tables(spark):
     resource = spark.createDataFrame([("r1", "AA"), ("r1", "AA"), ("r2", "bb"), ("r3", "cc"), ("r4", "dd"), ("r5", "ee"), ("r6", "ff"), ("r7", None), (None, "gg"), ("r8", "hh")], "id string, sha256 string")
     text = spark.createDataFrame(
