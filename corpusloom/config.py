@@ -17,6 +17,7 @@ SKIP_PATTERNS = [
     r"Calendar\.aspx\?.*(EID|view)=", r"/Facilities", r"translate\.google", r"\.(css|js|ico|woff2?|ttf|eot|map)(\?|$)",
 ]
 TRACKING_PREFIXES = ("utm_", "fbclid", "gclid")
+# Kinds in display order.
 KINDS = ["page", "document", "sitemap", "other"]
 
 

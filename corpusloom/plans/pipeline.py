@@ -6,6 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
+from corpusloom.config import DEFAULT
 from corpusloom.functions import chunking, html, text, urls
 from corpusloom.operators import export, frontier, links, manifest, readmodels
 from corpusloom.plans.dashboard import _BLOB, _NOW, _RV, AS_OF
@@ -174,7 +175,9 @@ def clean_text(spark, folder):
 
 
 def content_density(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.round(text.stopword_ratio(F.col("text")), 6).alias("ratio"), text.is_boilerplate(F.col("text")).alias("boilerplate"))
+    """One ratio a document; whether it is boilerplate follows from it."""
+    rated = table(spark, folder, "documents").select("doc_id", text.stopword_ratio(F.col("text")).alias("ratio"))
+    return rated.select("doc_id", F.round("ratio", 6).alias("ratio"), (F.col("ratio") < DEFAULT.boilerplate_floor).alias("boilerplate"))
 
 
 def extraction_status(spark, folder):

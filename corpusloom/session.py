@@ -10,9 +10,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side whose row width is bounded may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side may be broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,20 +74,31 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only if ``df`` (narrow rows, already materialised) has at most ``rows`` rows.
+def _width(df: DataFrame):
+    """The approximate bytes of a row: strings by their length, arrays by eight bytes an entry (strings in them by theirs)."""
+    parts = [F.lit(0).cast("bigint")]
+    for field in df.schema:
+        kind, c = field.dataType, F.col(f"`{field.name}`")
+        if isinstance(kind, T.StringType | T.BinaryType):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+            parts.append(F.coalesce(F.octet_length(F.array_join(c, "")), F.lit(0)) + 8 * F.greatest(F.size(c), F.lit(0)))
+        elif isinstance(kind, T.ArrayType | T.MapType):
+            parts.append(8 * F.greatest(F.size(c), F.lit(0)))
+        else:
+            parts.append(F.lit(8))
+    return sum(parts[1:], parts[0])
+
+
+def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint only if ``df`` (already materialised) has at most ``rows`` rows and ``size`` bytes.
 
     Beyond that the caller's join shuffles, and adaptive execution splits skewed keys.
     """
-    few = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if few else df
+    n, width = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(_width(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and width <= size else df
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the test tables as a DataFrame."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns, rows equal in all of them once: repeated deliveries count once everywhere."""
-    return df.select(*columns).distinct()
