@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields
 
 # Document types by content type, URL patterns that are never followed, dropped query parameters.
 DOCUMENT_TYPES = {
@@ -46,4 +48,15 @@ class Config:
     tick_files: int = 1
 
 
+    @classmethod
+    def from_environment(cls, environment: Mapping[str, str] = os.environ) -> Config:
+        """The settings with those of the environment: CORPUSLOOM_CHUNK_CHARS and so on; a value of the wrong kind raises ValueError."""
+        found = {}
+        for f in fields(cls):
+            value = environment.get(f"CORPUSLOOM_{f.name.upper()}")
+            if value is not None and f.name != "ttl_days":
+                found[f.name] = type(getattr(DEFAULT, f.name))(value)
+        return cls(**found)
+
+
 DEFAULT = Config()

@@ -24,9 +24,11 @@ def merge_links(old: DataFrame, seen: DataFrame, run_id: str) -> DataFrame:
 
 
 def resolve(links: DataFrame, resource: DataFrame) -> DataFrame:
-    """``links`` with the id of the resource at their target, null where there is none: a left join on url."""
-    known = resource.select(F.col("url").alias("to_url"), F.col("id").alias("to_resource_id")).dropDuplicates(["to_url"])
-    return links.join(known, "to_url", "left")
+    """``links`` with the id of the resource at their target, null where there is none: a left join on url. One already there is kept."""
+    known = resource.select(F.col("url").alias("to_url"), F.col("id").alias("_found")).dropDuplicates(["to_url"])
+    both = links.join(known, "to_url", "left")
+    target = F.coalesce("to_resource_id", "_found") if "to_resource_id" in links.columns else F.col("_found")
+    return both.withColumn("to_resource_id", target).drop("_found")
 
 
 def undiscovered(links: DataFrame, resource: DataFrame, scope: Column | None = None) -> DataFrame:

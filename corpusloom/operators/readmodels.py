@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -76,9 +77,11 @@ def storage_by_type(blob: DataFrame, limit: int = 8) -> DataFrame:
 
 
 def matching(resource: DataFrame, text: str | None = None, kind: str | None = None, state: str | None = None) -> DataFrame:
-    """Resources by optional conditions; ``text`` is a pattern within url or title, case has no meaning."""
+    """Resources by optional conditions; ``text`` is a pattern within url or title, the case of ASCII letters has no meaning."""
     if text:
-        resource = resource.where(F.col("url").ilike(f"%{text}%") | F.col("title").ilike(f"%{text}%"))
+        upper, lower = string.ascii_uppercase, string.ascii_lowercase
+        pattern = "%" + text.translate(str.maketrans(upper, lower)) + "%"
+        resource = resource.where(F.translate("url", upper, lower).like(pattern) | F.translate("title", upper, lower).like(pattern))
     if kind:
         resource = resource.where(F.col("kind") == kind)
     if state:
@@ -158,3 +161,29 @@ def estimate(resource: DataFrame) -> DataFrame:
     extension = F.lower(F.nullif(F.regexp_extract("path", r"\.([A-Za-z0-9]{1,5})$", 1), F.lit("")))
     out = resource.groupBy(F.coalesce(extension, F.lit("none")).alias("extension")).agg(F.count("*").alias("n"), total("size_bytes").alias("known_bytes"), F.avg("size_bytes").alias("mean"), n_if(F.col("size_bytes").isNull()).alias("unknown"))
     return out.select("extension", "n", "known_bytes", F.round(F.col("known_bytes") + F.coalesce("mean", F.lit(0.0)) * F.col("unknown")).cast("bigint").alias("estimated_bytes"))
+
+
+def run_counters(versions: DataFrame, resource: DataFrame) -> DataFrame:
+    """Per run the counters that the log gives: observations, pages, documents and outcomes, bytes stored once and in all.
+
+    A blob counts for the first run that stored it. Aggregates only: a run that holds most rows is combined early.
+    """
+    one = versions.dropDuplicates(["id"]).join(resource.select(F.col("id").alias("resource_id"), F.col("kind").alias("of")).dropDuplicates(["resource_id"]), "resource_id", "left")
+    kinds = ["new", "changed", "probed", "gone", "error"]
+    main = one.groupBy("run_id").agg(
+        F.count("*").alias("observations"), n_if(F.col("of") == "page").alias("pages"), n_if(F.col("of") == "document").alias("documents"), *[n_if(F.col("change_kind") == k).alias(f"{k}_count") for k in kinds],
+        F.coalesce(F.sum(F.when(F.col("sha256").isNotNull(), F.col("size_bytes"))), F.lit(0)).cast("bigint").alias("bytes_downloaded"), F.coalesce(F.sum(F.when(F.col("sha256").isNull(), F.col("size_bytes"))), F.lit(0)).cast("bigint").alias("bytes_estimated"),
+    )
+    first = one.where(F.col("blob_sha256").isNotNull()).groupBy(F.lower("blob_sha256").alias("sha")).agg(F.min_by(F.struct("run_id", "size_bytes"), F.struct("observed_at", "id")).alias("f"))
+    stored = first.groupBy(F.col("f.run_id").alias("run_id")).agg(F.coalesce(F.sum("f.size_bytes"), F.lit(0)).cast("bigint").alias("bytes_stored"))
+    return main.join(stored, "run_id", "left").withColumn("bytes_stored", F.coalesce("bytes_stored", F.lit(0)))
+
+
+#: The SQL of :func:`run_counters` over the test tables.
+RUN_COUNTERS_SQL = """with v as (select v.*, r.kind as "of" from (select distinct * from resource_version) v left join resource r on r.id = v.resource_id),
+f as (select lower(blob_sha256) as sha, min_by(struct_pack(r := run_id, s := size_bytes), struct_pack(a := observed_at, b := id)) as x from v where blob_sha256 is not null group by 1),
+s as (select x.r as run_id, cast(coalesce(sum(x.s), 0) as bigint) as bytes_stored from f group by 1)
+select v.run_id, count(*) as observations, count(*) filter (where "of" = 'page') as pages, count(*) filter (where "of" = 'document') as documents,
+count(*) filter (where change_kind = 'new') as new_count, count(*) filter (where change_kind = 'changed') as changed_count, count(*) filter (where change_kind = 'probed') as probed_count, count(*) filter (where change_kind = 'gone') as gone_count, count(*) filter (where change_kind = 'error') as error_count,
+cast(coalesce(sum(size_bytes) filter (where sha256 is not null), 0) as bigint) as bytes_downloaded, cast(coalesce(sum(size_bytes) filter (where sha256 is null), 0) as bigint) as bytes_estimated, coalesce(any_value(bytes_stored), 0) as bytes_stored
+from v left join s using (run_id) group by 1"""

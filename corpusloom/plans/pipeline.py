@@ -229,7 +229,8 @@ def queries():
         "content_hash": lambda s, d: t("documents")(s, d).select("doc_id", F.sha2("text", 256).alias("sha256")),
         "export_outcomes": lambda s, d: export.outcomes(index_export(s, d)),
         "worker_sweep": lambda s, d: manifest.sweep(t("sync_run")(s, d), AS_OF, 60 * 24 * 30).select("id", "worker_id"),
-        "display_sizes": lambda s, d: r(s, d).select("id", text.human_bytes(F.col("size_bytes")).alias("size")),
+        "display_sizes": lambda s, d: r(s, d).select("id", text.human_bytes(F.col("size_bytes")).alias("size"), text.human_number(F.col("size_bytes")).alias("number"), text.kind_label(F.col("kind")).alias("label"), text.human_time(F.col("first_seen_at")).alias("seen")),
+        "display_durations": lambda s, d: t("sync_run")(s, d).select("id", text.human_duration(F.unix_millis("finished_at") - F.unix_millis("started_at")).alias("took"), text.human_age(F.unix_millis("requested_at"), int(AS_OF.timestamp() * 1000)).alias("age")),
     }
 
 
@@ -290,5 +291,11 @@ def oracle_sql():
         "worker_sweep": f"select id, worker_id from sync_run where heartbeat_at >= {_NOW} - interval 30 day",
         "sitemap_lastmod_due": r"""with d as (select id, last_changed_at, coalesce(try_strptime(last_modified, '%a, %d %b %Y %H:%M:%S GMT'), case when regexp_matches(last_modified, '^\d{4}-\d{2}-\d{2}') then try_cast(replace(last_modified, 'Z', '') as timestamp) end) as m from resource where kind = 'page')
             select id from d where m is not null and m > coalesce(last_changed_at at time zone 'UTC', timestamp '1970-01-01')""",
-        "display_sizes": "select id, case when size_bytes is null then '–' when size_bytes >= 1073741824 then printf('%.1f GB', size_bytes / 1073741824) when size_bytes >= 1048576 then printf('%.1f MB', size_bytes / 1048576) when size_bytes >= 1024 then printf('%.1f KB', size_bytes / 1024) else size_bytes || ' B' end as size from resource",
+        "display_sizes": """with s as (select *, case when size_bytes >= 1073741824 then struct_pack(v := size_bytes / 1073741824, u := 'GB') when size_bytes >= 1048576 then struct_pack(v := size_bytes / 1048576, u := 'MB') when size_bytes >= 1024 then struct_pack(v := size_bytes / 1024, u := 'KB') end as x from resource)
+            select id, case when coalesce(size_bytes, 0) <= 0 then '0 B' when x is null then size_bytes || ' B' when x.v >= 100 then printf('%.0f ', x.v) || x.u else printf('%.1f ', x.v) || x.u end as size, format('{:,}', coalesce(size_bytes, 0)) as number,
+            case kind when 'page' then 'Pages' when 'document' then 'Documents' when 'sitemap' then 'Sitemaps' else 'Other' end as label, coalesce(strftime(first_seen_at at time zone 'UTC', '%b %-d, %Y, %-I:%M %p'), '–') as seen from s""",
+        "display_durations": f"""with s as (select id, case when finished_at is not null and started_at is not null then cast(round(greatest(0, epoch_ms(finished_at) - epoch_ms(started_at)) / 1000) as bigint) end as s, (epoch_ms({_NOW}) - epoch_ms(requested_at)) / 1000 as a from sync_run),
+            u as (select *, case when a < 60 then struct_pack(n := cast(round(a) as bigint), w := 'second') when a < 3600 then struct_pack(n := cast(round(a / 60) as bigint), w := 'minute') when a < 86400 then struct_pack(n := cast(round(a / 3600) as bigint), w := 'hour') when a < 604800 then struct_pack(n := cast(round(a / 86400) as bigint), w := 'day')
+                  when a < 2628000 then struct_pack(n := cast(round(a / 604800) as bigint), w := 'week') when a < 31536000 then struct_pack(n := cast(round(a / 2628000) as bigint), w := 'month') else struct_pack(n := cast(round(a / 31536000) as bigint), w := 'year') end as x from s)
+            select id, case when s is null then '–' when s >= 3600 then (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' when s >= 60 then (s // 60) || 'm ' || (s % 60) || 's' else s || 's' end as took, case when a is null then '–' when x.n = 0 then 'now' else x.n || ' ' || x.w || case when x.n = 1 then '' else 's' end || ' ago' end as age from u""",
     }

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import dashboard, incremental, pipeline, retrieval, streams
+from corpusloom.plans import dashboard, incremental, lifecycle, pipeline, retrieval, streams
 from corpusloom.plans.sqltext import floored
 
-MODULES = [incremental, dashboard, pipeline, retrieval, streams]
+MODULES = [incremental, dashboard, pipeline, lifecycle, retrieval, streams]
 
 
 def queries() -> dict:

@@ -79,11 +79,15 @@ def bm25_top_k(spark, folder):
     return _bm25(spark, folder, 50)
 
 
-def _covering(spark, folder, k):
+def _covered(spark, folder):
     asked = _questions(spark).select("query_id", F.explode(text.content_words(F.col("text"))).alias("word"))
     n = asked.groupBy("query_id").agg(F.count("*").alias("n"))
     held = _documents(spark, folder).select("id", F.explode(text.content_words(F.col("text"))).alias("word")).join(F.broadcast(asked), "word")  # the few words of the questions
-    score = held.groupBy("query_id", "id").agg(F.count("*").alias("hit")).join(F.broadcast(n), "query_id").select("query_id", "id", F.round(F.col("hit") / F.col("n"), 6).alias("score"))
+    return held.groupBy("query_id", "id").agg(F.count("*").alias("hit")).join(F.broadcast(n), "query_id").select("query_id", "id", F.round(F.col("hit") / F.col("n"), 6).alias("score"))
+
+
+def _covering(spark, folder, k):
+    score = _covered(spark, folder)
     rank = F.row_number().over(retrieve.Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return score.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -119,10 +123,13 @@ def answer_policy(spark, folder):
 
 
 def _outcomes(spark, folder):
+    """Outcomes against the source of the first document that has all words of a question, which retrieval may miss."""
     expected = spark.createDataFrame([(q[0], q[2]) for q in QUESTIONS], "query_id int, expected_mode string")
     got = answer.lexical_answer(_questions(spark), _passages(spark, folder))
     found = _passages(spark, folder).groupBy("query_id").agg(F.collect_set("url").alias("retrieved"))
-    first = _passages(spark, folder).where("rank = 1").select("query_id", F.col("url").alias("expected_source"))
+    named = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("unknown")).alias("url"))
+    whole = _covered(spark, folder).where("score = 1.0").groupBy("query_id").agg(F.min("id").alias("id"))
+    first = whole.join(named, "id").select("query_id", F.col("url").alias("expected_source"))
     return expected.join(got, "query_id").join(found, "query_id", "left").join(first, "query_id", "left").withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<string>")))
 
 
@@ -162,7 +169,9 @@ def oracle_sql():
     judged = f"""q as (select query_id, question, expected_mode, {words.format("question")} as w from a), e as (select p.query_id, p.rank, p.url, case when len(q.w) > 0 then len(list_intersect(q.w, {words.format("p.text")})) / len(q.w) else 0 end as c from p join q using (query_id)),
         x0 as (select query_id, url, min(rank) as r from e where c >= 0.5 group by 1, 2), x as (select query_id, list(url order by r) as citations from x0 group by 1),
         o as (select q.query_id, expected_mode, case when citations is not null then 'grounded' when regexp_matches(question, '(?i)\\b(in general|generally|how does|how do .*\\bwork|why do|why does|what does .* mean|explain)\\b') then 'fallback' else 'abstained' end as mode, citations from q left join x using (query_id))"""
-    scores = "count(*) as questions, case when count(f) > 0 then count(f) / count(f) else 'nan'::double end as hit_rate, count(*) filter (where mode = expected_mode) / count(*) as mode_correct, 1.0::double as citations_valid from o left join (select query_id, url as f from p where rank = 1) using (query_id)"
+    scores = "count(*) as questions, case when count(f) > 0 then count(*) filter (where list_contains(coalesce(got, []), f)) / count(f) else 'nan'::double end as hit_rate, count(*) filter (where mode = expected_mode) / count(*) as mode_correct, count(*) filter (where list_has_all(coalesce(got, []::varchar[]), coalesce(citations, []::varchar[]))) / count(*) as citations_valid from o left join e1 using (query_id) left join (select query_id, list(distinct url) as got from p group by 1) using (query_id)"
+    expected = f"{cover}, e0 as (select query_id, min(id) as id from cs where score = 1.0 group by 1), e1 as (select query_id, coalesce(source, 'unknown') as f from e0 join documents on doc_id = id)"
+    expected = expected.replace(f"{asked}, ", "")
     return {
         "vector_top_k": f"with {hits} select query_id, id, score, rank from h where rank <= 8",
         "vector_top_k_capped": f"with {hits}, " + capped.format(where="", cap=3, k=8),
@@ -174,8 +183,8 @@ def oracle_sql():
         "sources_numbered": f"with {bm25}, {passages} select query_id, id, rank, url, source from p",
         "context_assembled": f"with {bm25}, {passages}, n as (select query_id, string_agg(l, chr(10) order by source, l) as s from (select distinct query_id, source, '[' || source || '] ' || coalesce(title, url) as l from p) group by 1) select query_id, sha256(string_agg('[' || source || '] ' || text, chr(10) || chr(10) order by rank) || chr(10) || chr(10) || 'Sources:' || chr(10) || any_value(s)) as sha256 from p join n using (query_id) group by 1",
         "coverage_answer": f"with {bm25}, {passages}, {judged} select query_id, mode, coalesce(array_to_string(citations, ' '), '') as citations from o",
-        "eval_metrics": f"with {bm25}, {passages}, {judged} select {scores}",
-        "eval_by_mode": f"with {bm25}, {passages}, {judged} select expected_mode, {scores} group by 1",
+        "eval_metrics": f"with {bm25}, {passages}, {judged}, {expected} select {scores}",
+        "eval_by_mode": f"with {bm25}, {passages}, {judged}, {expected} select expected_mode, {scores} group by 1",
         "answer_policy": f"""select * from (values (1, 'grounded', 'Pay at the desk. [1]', 'u1'), (2, 'abstained', '{answer.ABSTAINED}', ''), (3, 'fallback', '{answer.LABEL}In most towns, yes.', ''),
             (4, 'fallback', '{answer.LABEL}yes', ''), (5, 'abstained', 'I do not know.', ''), (6, 'abstained', '{answer.ABSTAINED}', ''), (7, 'abstained', '{answer.ABSTAINED}', ''), (8, 'abstained', '{answer.ABSTAINED}', ''), (9, 'abstained', '{answer.ABSTAINED}', '')) v(id, mode, answer, citations)""",
     }

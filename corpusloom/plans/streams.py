@@ -13,8 +13,10 @@ from corpusloom.streaming import changes
 def stream_change_log(spark, folder):
     """The contents of each resource at their first sight, appended from a stream of observations batch by batch."""
     base = f"{shared_dir(spark)}/corpusloom/{uuid.uuid4().hex}"
-    changes.append_changes(changes.stream_table(spark, f"{folder}/resource_version.parquet", "resource_version", 4), f"{base}/log", f"{base}/state")
-    return spark.read.parquet(f"{base}/log").select("resource_id", "sha256", F.unix_millis("observed_at").alias("observed_ms"))
+    # Several files in no order of time, so that batches bring earlier observations late.
+    spark.read.parquet(f"{folder}/resource_version.parquet").repartition(6, F.xxhash64("id")).write.parquet(f"{base}/in")
+    changes.append_changes(changes.stream_table(spark, f"{base}/in", "resource_version", 2), f"{base}/log", f"{base}/state")
+    return changes.first_seen(spark, f"{base}/log").select("resource_id", "sha256", F.unix_millis("observed_at").alias("observed_ms"))
 
 
 def queries():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -27,5 +29,21 @@ def create_if_absent(spark: SparkSession, root: str, names: list[str] | None = N
         spark.createDataFrame([], SCHEMAS[name]).write.mode("ignore").parquet(f"{root}/{name}")
 
 
+def migrate(spark: SparkSession, root: str, steps: dict[str, Callable[[SparkSession, str], None]]) -> list[str]:
+    """Run the ``steps`` that ``root`` has not seen, in the order of their names, each once; the names of those that ran.
+
+    A step is noted after it ended; one that finds its work done already must leave it so.
+    """
+    log = f"{root}/_migrations"
+    spark.createDataFrame([], "name string, applied_at timestamp").write.mode("ignore").parquet(log)
+    done = {r["name"] for r in spark.read.parquet(log).collect()}
+    ran = []
+    for name in sorted(set(steps) - done):
+        steps[name](spark, root)
+        spark.sql("select current_timestamp() as applied_at").selectExpr(f"'{name}' as name", "applied_at").write.mode("append").parquet(log)
+        ran.append(name)
+    return ran
+
+
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +29,15 @@ def rules(text: str, agent: str) -> list[tuple[bool, str]]:
     return next((found for name, found in groups.items() if name != "*" and name in agent), groups.get("*", []))
 
 
+def load(get: Callable[[str, dict], tuple[int, dict, bytes]], host: str, agent: str) -> list[tuple[bool, str]]:
+    """The rules of a host for ``agent`` through ``get``; no rules, so that all is allowed, if there is no file or it fails."""
+    try:
+        status, _, body = get(f"https://{host}/robots.txt", {"User-Agent": agent})
+    except OSError:
+        return []
+    return rules(body.decode("utf-8", "replace"), agent) if status == 200 else []
+
+
 def pattern(rule: str) -> str:
     """A rule's pattern as a regular expression: * is any text, a $ at the end is the end."""
     body, end = (rule[:-1], "$") if rule.endswith("$") else (rule, "")

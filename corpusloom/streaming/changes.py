@@ -20,25 +20,42 @@ def stream_table(spark: SparkSession, path: str, name: str, files: int = DEFAULT
     return reader.parquet(path)
 
 
+#: Partitions of the log of contents by their key.
+LOG_PARTS = 64
+_LOG = "resource_id string, sha256 string, observed_at timestamp, id string, part int"
+
+
 def append_changes(stream: DataFrame, log: str, checkpoint: str) -> None:
-    """Append the observations of ``stream`` whose (resource, content) ``log`` does not have, in bounded batches, and end.
+    """Append to ``log`` the first observation of each (resource, content) of ``stream``, in bounded batches, and end.
 
-    A batch that runs again finds its rows in the log and adds nothing: the sink is idempotent without a transaction.
-    Within a batch the first observation of a content is kept.
+    An observation is added unless the log has that content at the same time or earlier, so one that comes late but was
+    made earlier is added too, and :func:`first_seen` reads the earliest. A batch that runs again finds its rows in
+    the log and adds nothing: the sink is idempotent without a transaction. The log is partitioned by key, and a batch
+    reads only the partitions of its keys.
     """
     spark = stream.sparkSession
-    schema = "resource_id string, sha256 string, observed_at timestamp, id string"
 
     def merge(batch: DataFrame, number: int) -> None:
         rows = batch.where(F.col("sha256").isNotNull()).select("resource_id", F.lower("sha256").alias("sha256"), "observed_at", "id")
-        first = rows.groupBy("resource_id", "sha256").agg(F.min_by(F.struct("observed_at", "id"), F.struct("observed_at", "id")).alias("r")).select("resource_id", "sha256", "r.*")
-        have = spark.read.schema(schema).parquet(log).select("resource_id", "sha256")
-        first.join(have, ["resource_id", "sha256"], "left_anti").write.mode("append").parquet(log)
-
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(log)
+        first = rows.groupBy("resource_id", "sha256").agg(F.min(F.struct("observed_at", "id")).alias("r")).select("resource_id", "sha256", "r.*")
+        first = first.withColumn("part", F.pmod(F.xxhash64("resource_id", "sha256"), F.lit(LOG_PARTS)).cast("int")).persist()
+        parts = [r[0] for r in first.select("part").distinct().collect()]  # at most LOG_PARTS
+        have = spark.read.schema(_LOG).parquet(log).where(F.col("part").isin(*parts)).select("resource_id", "sha256", F.col("observed_at").alias("had_at")) if parts else None
+        if have is not None:
+            known = [first["resource_id"] == have["resource_id"], first["sha256"] == have["sha256"], have["had_at"] <= first["observed_at"]]
+            first.join(have, known, "left_anti").write.mode("append").partitionBy("part").parquet(log)
+        first.unpersist()
+
+    spark.createDataFrame([], _LOG).write.mode("ignore").partitionBy("part").parquet(log)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def first_seen(spark: SparkSession, log: str) -> DataFrame:
+    """Rows (resource_id, sha256, observed_at, id): the earliest observation of each content in ``log``."""
+    rows = spark.read.schema(_LOG).parquet(log)
+    return rows.groupBy("resource_id", "sha256").agg(F.min(F.struct("observed_at", "id")).alias("r")).select("resource_id", "sha256", "r.*")
+
+
 def stale_runs(runs: DataFrame, as_of: datetime, minutes: int = DEFAULT.stale_minutes) -> DataFrame:
     """Rows (id, silent_ms): running runs without a sign of life for ``minutes``; for a stream or a table."""
     quiet = F.unix_millis(F.lit(as_of)) - F.unix_millis("heartbeat_at")
