@@ -84,7 +84,7 @@ def test_text(spark):
     assert front["meta"] == {"title": "A: b", "url": "u"} and front["body"].strip() == "body"
     body = "# H\n\n" + "\n\n".join(f"{n} " + "word " * 60 for n in range(9)) + "\n\n## Short\n\nno\n"
     cut = one(spark, text.markdown_chunks(F.lit(body)))
-    assert len(cut) == 3 and all(60 < len(c) <= 1500 for c in cut) and cut[1].startswith(cut[0][-150:].lstrip()) and one(spark, text.markdown_chunks(F.lit(None).cast("string"))) is None
+    assert len(cut) == 3 and all(60 < len(c) <= 1500 for c in cut) and cut[0][-100:] in cut[1] and one(spark, text.markdown_chunks(F.lit(None).cast("string"))) is None
     assert one(spark, text.markdown_chunks(F.lit(""))) == []
     assert one(spark, text.human_duration(F.lit(3_725_000))) == "1h 2m" and one(spark, text.human_bytes(F.lit(2048))) == "2.0 KB" and one(spark, text.human_bytes(F.lit(204_800))) == "200 KB"
     assert one(spark, text.human_age(F.lit(0), 90_000_000)) == "1 day ago" and one(spark, text.human_age(F.lit(7_200_000), 0)) == "in 2 hours"
