@@ -44,14 +44,25 @@ def p3_content_pieces(spark, folder):
     return pieces.content_pieces(table(spark, folder, "resource_text"))
 
 
+def _pages(spark, folder):
+    return pages.texts_of(table(spark, folder, "resource"), table(spark, folder, "resource_text"), "page")
+
+
 def p5_found(spark, folder):
-    found = _texts(spark, folder, "page")
+    found = lines.hashed(_pages(spark, folder))
     return lines.occurrences(found, lines.repeated_lines(found))
 
 
+def p5_clusters(spark, folder):
+    """As p5_found, but a line must be repeated over distinct texts that were published on two days or more."""
+    found = lines.hashed(_pages(spark, folder))
+    return lines.occurrences(found, lines.repeated_lines(found, unit="clusters", days=2))
+
+
 def p5_cleaned(spark, folder):
-    found = _texts(spark, folder, "page")
-    return lines.without_repeated(found, lines.repeated_lines(found))
+    documents = _pages(spark, folder)
+    found = lines.hashed(documents)
+    return lines.without_repeated(documents, found, lines.repeated_lines(found))
 
 
 def p6_found(spark, folder):
@@ -84,7 +95,7 @@ def p10_found(spark, folder):
 
 
 def queries():
-    return {f.__name__: f for f in (p2_found, p2_articles, p3_found, p3_content_pieces, p4_found, p5_found, p5_cleaned, p6_found, p7_found, p7_paragraphs, p8_ids, p9_containers, p10_found, p10_levels)}
+    return {f.__name__: f for f in (p2_found, p2_articles, p3_found, p3_content_pieces, p4_found, p5_found, p5_clusters, p5_cleaned, p6_found, p7_found, p7_paragraphs, p8_ids, p9_containers, p10_found, p10_levels)}
 
 
 _SPACE = r"[\s\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -99,7 +110,11 @@ c as (select host, form from f join n using (host) where form <> '' group by hos
 
 
 def oracle_sql():
+    days = "p as (select id, host, text, coalesce(last_changed_at, first_seen_at)::timestamp::date as day from (select distinct r.id, r.host, t.text, r.last_changed_at, r.first_seen_at from resource r join resource_text t on t.resource_id = r.id where r.kind = 'page' and t.status = 'ok'))"
+    clusters = _LINES.replace(_PAGES, days).replace("n as (select host, count(*) as pages", "k as (select host, text, min(day) as day, min(id) as id from p group by 1, 2),\nn as (select host, count(*) as pages").replace("from p group by 1),", "from k group by 1),")
+    clusters = clusters.replace("from f join n using (host) where", "from f join k using (id, host) join n using (host) where").replace(">= 0.05 * pages)", ">= 0.05 * pages and count(distinct day) >= 2)")
     return {
+        "p5_clusters": f"with {clusters} select f.id as resource_id, line_no from f join c using (host, form)",
         "p5_found": f"with {_LINES} select id as resource_id, line_no from f join c using (host, form)",
         "p5_cleaned": f"""with {_LINES}
 select id as resource_id, coalesce(string_agg(line, chr(10) order by line_no) filter (where c.form is null), '') as text

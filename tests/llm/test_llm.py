@@ -184,7 +184,9 @@ def test_repeated_lines_equal_brute_force(spark, tmp_path):
 def test_republished_articles_are_not_repeated_lines(spark):
     rows = [(f"r{n}", "h", "an article line\nmenu" if n < 9 else f"text {chr(97 + n)}\nmenu", NOW.date()) for n in range(20)]
     documents = spark.createDataFrame(rows, "resource_id string, host string, text string, day date")
-    by = {unit: lines.repeated_lines(documents, unit=unit).collect() for unit in ("documents", "clusters")}
+    found = lines.hashed(documents)
+    by = {unit: lines.repeated_lines(found, unit=unit).collect() for unit in ("documents", "clusters")}
+    assert lines.repeated_lines(found, unit="clusters", days=2).count() == 0
     assert sorted(r["documents"] for r in by["documents"]) == [9, 20] and [(r["documents"], r["clusters"]) for r in by["clusters"]] == [(20, 12)]
 
 
