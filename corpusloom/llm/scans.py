@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,28 +93,36 @@ def running_lines(documents: DataFrame) -> DataFrame:
     return known.unionByName(rare)
 
 
+_TAKEN = "resource_id string, header array<int>, page_number array<int>, word array<string>, word_at array<int>, compound array<string>, cut array<string>, kept array<string>, cut_at array<int>, left array<int>, next_line array<int>"
+
+
 def _tokens(documents: DataFrame, running: DataFrame) -> DataFrame:
-    """Rows (resource_id, line_no, kind, word, other, left, next_line), written to the shared folder.
+    """Rows of _TAKEN, one a document, written to the shared folder: what its lines hold, in arrays.
 
-    Kinds: header, page_number; word (a word of a body line); compound (a hyphenated word within a line); cut (a word
-    cut at a line's end: ``word`` joined, ``other`` with its hyphen, ``left`` its characters before the cut and
-    ``next_line`` where it goes on).
+    ``header`` and ``page_number`` are numbers of lines. A word of a body line is in ``word`` once a line, its line in
+    ``word_at``; ``compound`` has the hyphenated words within lines. A word cut at the end of line ``cut_at`` is in
+    ``cut`` joined and in ``kept`` with its hyphen; ``left`` counts its characters before the cut, and it goes on in
+    ``next_line``.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for key, text, edge in zip(batch["resource_id"], batch["text"], batch["edge"], strict=True):
+            for key, text, edge in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lines = text.split("\n")
-                edges = set() if edge is None else set(map(int, edge))
-                body = []
+                edges = set(edge or ())
+                numbers, body = [], []
                 for n, line in enumerate(lines):
                     if n in edges:
-                        rows.append((key, n, "header", None, None, 0, -1))
-                    elif n and is_page_number(line):
-                        rows.append((key, n, "page_number", None, None, 0, -1))
+                        continue
+                    if n and is_page_number(line):
+                        numbers.append(n)
                     elif line.strip():
                         body.append(n)
+                words: list[str] = []
+                word_at: list[int] = []
+                compounds: list[str] = []
+                cuts: list[tuple] = []
                 started = 0
                 for n, after in zip(body, [*body[1:], -1][: len(body)], strict=True):
                     line = lines[n][started:]
@@ -122,15 +131,25 @@ def _tokens(documents: DataFrame, running: DataFrame) -> DataFrame:
                     start = _START.match(lines[after]) if cut and after >= 0 else None
                     if start and not start[1][0].isupper() and not start[1].isdigit() and not cut[1].isdigit():
                         left, right = cut[1].lower(), start[1].lower()
-                        rows.append((key, n, "cut", left + right, f"{left}-{right}", len(left), after))
+                        cuts.append((left + right, f"{left}-{right}", n, len(left), after))
                         line, started = line[: cut.start()], start.end()
-                    rows += {(key, n, "word", w, None, 0, -1) for w in (x.lower() for x in _TOKEN.findall(line)) if not w.isdigit()}
-                    rows += [(key, n, "compound", w.lower(), None, 0, -1) for w in _COMPOUND.findall(line)]
-            yield pd.DataFrame(rows, columns=["resource_id", "line_no", "kind", "word", "other", "left", "next_line"])
+                    low = line.lower()
+                    mine = {w for w in _TOKEN.findall(low) if not w.isdigit()}
+                    words += mine
+                    word_at += [n] * len(mine)
+                    if "-" in low:
+                        compounds += _COMPOUND.findall(low)
+                rows.append((key, sorted(edges), numbers, words, word_at, compounds, *([c[k] for c in cuts] for k in range(5))))
+            fields = [field.split() for field in _TAKEN.split(", ")]
+            columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
 
     edge = running.groupBy("resource_id").agg(F.collect_list("line_no").alias("edge"))
     met = documents.select("resource_id", "text").join(edge, "resource_id", "left")
-    return materialize(met.mapInPandas(run, "resource_id string, line_no int, kind string, word string, other string, left int, next_line int"))
+    return materialize(met.mapInArrow(run, _TAKEN))
+
+
+_ARROW = {"string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
 
 
 def anagram_hash(word: str) -> int:
@@ -198,9 +217,10 @@ def diagnose(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``documents`` has (resource_id, text) with unique ids. A document without lines has no faults.
     """
     tokens = _tokens(documents, running_lines(documents))
-    words = materialize(tokens.where(F.col("kind") == "word").groupBy("word").agg(F.count("*").alias("n")))
-    compounds = tokens.where(F.col("kind") == "compound").groupBy(F.col("word").alias("other")).agg(F.count("*").alias("n_hyphen"))
-    cuts = tokens.where(F.col("kind") == "cut").select("resource_id", "line_no", "word", "other", "left", "next_line")
+    words = materialize(tokens.select(F.explode("word").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    compounds = tokens.select(F.explode("compound").alias("other")).groupBy("other").agg(F.count("*").alias("n_hyphen"))
+    zipped = F.arrays_zip(F.col("cut_at").alias("line_no"), F.col("cut").alias("word"), F.col("kept").alias("other"), F.col("left"), F.col("next_line"))
+    cuts = tokens.where(F.size("cut") > 0).select("resource_id", F.inline(zipped))
     halves = cuts.select("word", F.substring_index("other", "-", 1).alias("a"), F.substring_index("other", "-", -1).alias("b"))
     joined = halves.select(F.explode(F.array("word", "a", "b")).alias("word")).distinct().join(words, "word", "left_anti").select("word", F.lit(0).cast("bigint").alias("n"))
     right = maybe_broadcast(materialize(corrections(words.unionByName(joined))))
@@ -217,12 +237,16 @@ def diagnose(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept_halves = [judged.where(~F.col("split")).select("resource_id", F.col(at).alias("line_no"), F.substring_index("other", "-", part).alias("word")) for at, part in (("line_no", 1), ("next_line", -1))]
     judged = judged.where("split")
 
-    whole_words = tokens.where(F.col("kind") == "word").select("resource_id", "line_no", "word")
+    whole_words = tokens.select("resource_id", F.inline(F.arrays_zip(F.col("word_at").alias("line_no"), F.col("word").alias("word"))))
     plain = whole_words.unionByName(kept_halves[0]).unionByName(kept_halves[1]).join(right.select("word", "target"), "word").select("resource_id", "line_no", F.lit("char").alias("fault"), "word", "target", F.lit(0).alias("left"), F.lit(-1).alias("next_line"))
     kept = F.expr("left(word, `left`) = left(target, `left`)")
     at_cut = judged.where(F.col("target").isNotNull()).select("resource_id", F.when(kept, F.col("next_line")).otherwise(F.col("line_no")).alias("line_no"), F.lit("char").alias("fault"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("target"), F.lit(0).alias("left"), F.lit(-1).alias("next_line"))
     hyphens = judged.select("resource_id", "line_no", F.lit("hyphen").alias("fault"), "word", "target", "left", "next_line")
-    edges = tokens.where(F.col("kind").isin("header", "page_number")).select("resource_id", "line_no", F.col("kind").alias("fault"), "word", F.col("other").alias("target"), "left", "next_line")
+    nothing = F.lit(None).cast("string")
+    edges = None
+    for fault in ("header", "page_number"):
+        part = tokens.select("resource_id", F.explode(fault).alias("line_no"), F.lit(fault).alias("fault"), nothing.alias("word"), nothing.alias("target"), F.lit(0).alias("left"), F.lit(-1).alias("next_line"))
+        edges = part if edges is None else edges.unionByName(part)
     repairs = materialize(plain.unionByName(at_cut).unionByName(hyphens).unionByName(edges))
     return repairs.select("resource_id", "line_no", "fault").distinct(), repairs
 
