@@ -25,6 +25,8 @@ from corpusloom.session import materialize, maybe_broadcast
 BESIDE, FEWEST = 0.3, 3
 #: How many times as frequent as a rare word its correction must be; for words with signs no word has, less.
 RATIO, SIGN_RATIO, LEAST_COUNT = 8.0, 1.5, 3
+#: Most confusions of a word, and how many letters it needs for each beyond the first.
+MOST, LETTERS = 3, 2
 
 # True characters and what scanners read for them.
 CONFUSIONS = [
@@ -184,12 +186,13 @@ def corrections(words: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for word, n in zip(batch["word"], batch["n"], strict=True):
+                odd = bool(_ODD.search(word))
                 if len(word) < 3:
                     continue
-                odd = bool(_ODD.search(word))
                 here = [k for k, (_, read, _) in enumerate(_DELTAS) if read in word]
                 own = anagram_hash(word)
-                for group in [(k,) for k in here] + list(combinations_with_replacement(here, 2)):
+                several = [g for n in range(2, MOST + 1) if len(word) > n * LETTERS - LETTERS for g in combinations_with_replacement(here, n)]
+                for group in [(k,) for k in here] + several:
                     if odd or len(word) > 3:
                         rows.append((word, n, odd, list(group), (own + sum(_DELTAS[k][2] for k in group)) % _PRIME))
             yield pd.DataFrame(rows, columns=["word", "n", "odd", "group", "hash"])
