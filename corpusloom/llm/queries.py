@@ -81,6 +81,12 @@ def p8_ids(spark, folder):
     return tokens.token_ids(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_decoded(spark, folder):
+    """Every text through a deep tree of ids and back: its hash."""
+    ids = tokens.token_ids(table(spark, folder, "documents"), "doc_id", "text", leaf=256)
+    return tokens.decoded(ids, "doc_id", "ids").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
 def p9_containers(spark, folder):
     return packing.pack(materialize(packing.items(table(spark, folder, "documents"))))
 
@@ -95,7 +101,7 @@ def p10_found(spark, folder):
 
 
 def queries():
-    return {f.__name__: f for f in (p2_found, p2_articles, p3_found, p3_content_pieces, p4_found, p5_found, p5_clusters, p5_cleaned, p6_found, p7_found, p7_paragraphs, p8_ids, p9_containers, p10_found, p10_levels)}
+    return {f.__name__: f for f in (p2_found, p2_articles, p3_found, p3_content_pieces, p4_found, p5_found, p5_clusters, p5_cleaned, p6_found, p7_found, p7_paragraphs, p8_ids, p8_decoded, p9_containers, p10_found, p10_levels)}
 
 
 _SPACE = r"[\s\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -113,7 +119,11 @@ def oracle_sql():
     days = "p as (select id, host, text, coalesce(last_changed_at, first_seen_at)::timestamp::date as day from (select distinct r.id, r.host, t.text, r.last_changed_at, r.first_seen_at from resource r join resource_text t on t.resource_id = r.id where r.kind = 'page' and t.status = 'ok'))"
     clusters = _LINES.replace(_PAGES, days).replace("n as (select host, count(*) as pages", "k as (select host, text, min(day) as day, min(id) as id from p group by 1, 2),\nn as (select host, count(*) as pages").replace("from p group by 1),", "from k group by 1),")
     clusters = clusters.replace("from f join n using (host) where", "from f join k using (id, host) join n using (host) where").replace(">= 0.05 * pages)", ">= 0.05 * pages and count(distinct day) >= 2)")
+    usable = "k as (select distinct on (id) id, embedder, embedding::double[] as v from chunk where embedding is not null and list_inner_product(embedding::double[], embedding::double[]) > 0)"
+    near = f"with {usable}, s as (select a.id as i, b.id as j, round(list_cosine_similarity(a.v, b.v), 9) as c from k a join k b on a.embedder = b.embedder and len(a.v) = len(b.v) and a.id <> b.id), r as (select *, row_number() over (partition by i order by c desc, j) as n from s where c >= 0.8)"
     return {
+        "p6_found": f"{near} select distinct least(i, j) as chunk_id_a, greatest(i, j) as chunk_id_b from r where n <= 5",
+        "p8_decoded": "select doc_id, sha256(coalesce(text, '')) as sha256 from documents",
         "p5_clusters": f"with {clusters} select f.id as resource_id, line_no from f join c using (host, form)",
         "p5_found": f"with {_LINES} select id as resource_id, line_no from f join c using (host, form)",
         "p5_cleaned": f"""with {_LINES}

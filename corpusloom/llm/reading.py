@@ -27,7 +27,7 @@ LABELLED = 20_000
 #: Rounds of the alternation; spread of levels within a band; strength of the prior on difficulties.
 ROUNDS, SPREAD, RIDGE = 3, 0.3, 1.0
 GRID = np.linspace(-3, 3, 121)
-#: A document shorter than this many known words has no level.
+#: A document shorter than this many known words is not called demanding.
 LEAST_WORDS = 5
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -112,8 +112,8 @@ def _normaliser(words: DataFrame) -> np.ndarray:
     return np.log(np.maximum(total, 1e-300))
 
 
-def _fit_levels(occurrences: DataFrame, words: DataFrame) -> DataFrame:
-    """Rows (doc_id, band, mean, level) given the words; levels scaled so that the outer bands' means are -1 and 1."""
+def _fit_levels(occurrences: DataFrame, words: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, float, float]]:
+    """(rows (doc_id, band, mean, level) given the words, the scale): levels are scaled so that the outer bands' means are -1 and 1."""
     spend = _normaliser(words)
     sums = occurrences.join(words, "word").groupBy("doc_id", "band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("b")).alias("s"))
 
@@ -128,25 +128,26 @@ def _fit_levels(occurrences: DataFrame, words: DataFrame) -> DataFrame:
     means = {r["band"]: r["m"] for r in levels.groupBy("band").agg(F.avg("level").alias("m")).collect()}
     low, high = means.get("plain", -1.0), means.get("demanding", 1.0)
     if high - low < 1e-6:
-        return levels
-    return levels.withColumn("level", (F.col("level") - low) * (2 / (high - low)) - 1)
+        low, high = -1.0, 1.0
+    return levels.withColumn("level", (F.col("level") - low) * (2 / (high - low)) - 1), (spend, low, high)
 
 
-def fit(documents: DataFrame, labels: DataFrame, limit: int = LABELLED) -> tuple[dict[str, float], float]:
-    """(difficulty of each word, the mean difficulty from which a document is demanding).
+def fit(documents: DataFrame, labels: DataFrame, limit: int = LABELLED) -> tuple[dict[str, float], float, tuple[np.ndarray, float, float]]:
+    """(difficulty of each word, the mean difficulty from which a document is demanding, the latent scale).
 
-    ``documents`` has (doc_id, lang, text), ``labels`` (doc_id, reading_band). Both results are bounded by ``limit``
-    documents. Without labelled documents of the band demanding nothing is demanding.
+    ``documents`` has (doc_id, lang, text), ``labels`` (doc_id, reading_band). The scale is the words' total rate at
+    each grid point and the levels that become -1 and 1, the means of the outer bands. All results are bounded by
+    ``limit`` documents. Without labelled documents of the band demanding nothing is demanding.
     """
     seen = _occurrences(documents, labels, limit)
     levels = seen.select("doc_id", "band").distinct().withColumn("level", F.coalesce(*[F.when(F.col("band") == k, F.lit(v)) for k, v in BANDS.items()]))
     words = _fit_words(seen, levels)
     for _ in range(ROUNDS):
-        levels = _fit_levels(seen, words)
+        levels, _ = _fit_levels(seen, words)
         words = _fit_words(seen, levels)
-    levels = _fit_levels(seen, words)
+    levels, scale = _fit_levels(seen, words)
     found = levels.select("mean", (F.col("band") == "demanding").alias("hard")).toPandas()  # at most ``limit`` rows
-    return {r["word"]: r["b"] for r in words.select("word", "b").collect()}, _cut(found)
+    return {r["word"]: r["b"] for r in words.select("word", "b").collect()}, _cut(found), scale
 
 
 def _cut(found: pd.DataFrame) -> float:
@@ -162,25 +163,36 @@ def _cut(found: pd.DataFrame) -> float:
     return float(edges[best[np.argmax(widths[best])]])
 
 
-def score(documents: DataFrame, difficulty: dict[str, float], cut: float) -> DataFrame:
-    """Rows (doc_id, difficulty, demanding) of each English document with enough known words.
+def score(documents: DataFrame, difficulty: dict[str, float], cut: float, scale: tuple[np.ndarray, float, float] | None = None) -> DataFrame:
+    """Rows (doc_id, words, difficulty, level, demanding) of each English document with a text.
 
-    All documents are scored where they lie; only the short results of repeated deliveries are dropped by a shuffle.
+    ``words`` are its known words, ``difficulty`` their mean, null without any, and ``level`` its place on the latent
+    scale (plain about -1, general 0, demanding 1), which a document of few known words hardly leaves the middle of;
+    null without a scale. Below LEAST_WORDS nothing is demanding. All documents are scored where they lie; only the
+    short results of repeated deliveries are dropped by a shuffle.
     """
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(difficulty)
+    shared = spark.sparkContext.broadcast((difficulty, scale))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+        known, scale = shared.value
         for batch in batches:
             rows = []
             for key, lang, text in zip(batch["doc_id"], batch["lang"], batch["text"], strict=True):
                 words = words_of(text)
-                met = [known[w] for w in words if w in known]
-                if len(met) >= LEAST_WORDS and is_english(lang, words):
-                    mean = sum(met) / len(met)
-                    rows.append((key, mean, mean > cut))
-            yield pd.DataFrame(rows, columns=["doc_id", "difficulty", "demanding"])
+                if words and is_english(lang, words):
+                    met = [known[w] for w in words if w in known]
+                    rows.append((key, len(met), sum(met)))
+            out = pd.DataFrame(rows, columns=["doc_id", "words", "sum"])
+            n, s = out["words"].to_numpy(float), out["sum"].to_numpy(float)
+            mean = np.divide(s, n, out=np.full(len(n), np.nan), where=n > 0)
+            level: np.ndarray | None = None
+            if scale is not None and len(out):
+                spend, low, high = scale
+                best = np.argmax(s[:, None] * GRID - n[:, None] * spend - GRID**2 / 2, axis=1)
+                level = (GRID[best] - low) * (2 / (high - low)) - 1
+            yield pd.DataFrame({"doc_id": out["doc_id"], "words": out["words"], "difficulty": pd.array(mean, "Float64") if len(out) else [], "level": level if level is not None else [None] * len(out), "demanding": (n >= LEAST_WORDS) & (mean > cut)})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "lang", "text").mapInPandas(run, f"doc_id {kind}, difficulty double, demanding boolean").distinct()
+    scored = documents.select("doc_id", "lang", "text").mapInPandas(run, f"doc_id {kind}, words int, difficulty double, level double, demanding boolean")
+    return scored.withColumn("difficulty", F.when(F.col("words") > 0, F.col("difficulty"))).distinct()

@@ -31,6 +31,28 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 
 _SETTLED = re.compile(r"(?<=\w)(?=[ \n])")
 _ENCODERS: dict[str, Callable[[str], list[int]]] = {}
+_PIECES: dict[str, dict[int, bytes]] = {}
+
+
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
+def pieces_of(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> dict[int, bytes]:
+    """The bytes of each id of a vocabulary file, loaded once in each Python worker."""
+    path = os.path.join(folder, vocabulary)
+    if path not in _PIECES:
+        _PIECES[path] = {rank: token for token, rank in _ranks(path).items()}
+    return _PIECES[path]
+
+
+def decode_tree(ids: list[int], pieces: dict[int, bytes], leaf: int = 1 << 12) -> bytes:
+    """The bytes of ``ids``: halves are decoded for themselves and concatenated up the tree."""
+    if len(ids) <= leaf:
+        return b"".join(map(pieces.__getitem__, ids))
+    middle = len(ids) // 2
+    return decode_tree(ids[:middle], pieces, leaf) + decode_tree(ids[middle:], pieces, leaf)
 
 
 def encoder(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
@@ -39,9 +61,7 @@ def encoder(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Callable[
     if path not in _ENCODERS:
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _ENCODERS[path] = tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        _ENCODERS[path] = tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={}).encode_ordinary
     return _ENCODERS[path]
 
 
@@ -110,6 +130,18 @@ def token_ids(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS, voca
     return out.withColumnRenamed("key", key)
 
 
+def decoded(df: DataFrame, key: str, ids: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Rows (key, text): the text of each row's ids; an empty text for an empty or null list, bytes that are no UTF-8 replaced."""
+    kind = df.select(key).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pieces_of(folder, vocabulary)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode_tree(x or [], pieces).decode("utf-8", "replace") for x in batch.column(1).to_pylist()], pa.string())], names=["key", "text"])
+
+    return df.selectExpr(f"`{key}` as key", f"`{ids}` as ids").mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
+
+
 def token_counts(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:
     """Rows (key, n): the number of ids of each text, 0 for an empty or null one."""
     kind = df.select(key).schema[0].dataType.simpleString()
