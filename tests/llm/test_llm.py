@@ -434,7 +434,7 @@ def test_levels_on_held_out_labels(spark):
     train, test = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
     got = reading.score(documents.join(test, "doc_id"), *reading.fit(documents, train)).join(test, "doc_id").toPandas()
     assert len(got) > 100 and ((got.reading_band == "demanding") == got.demanding).mean() > 0.98
-    level = got.groupby("reading_band").level.mean()
+    level = got.groupby("reading_band")["level"].mean()
     assert level["plain"] < -0.5 < level["general"] < 0.5 < level["demanding"]
 
 
