@@ -108,9 +108,22 @@ def test_stream_is_idempotent(spark, tmp_path):
     row = ["id", "resource_id", "run", datetime(2025, 1, 1), "new", 200, "t", 1, "AB", None, None, None, None]
     df = spark.createDataFrame([tuple(row), (*["id2", *row[1:3]], datetime(2025, 1, 2), *row[4:8], "ab", *row[9:]), (*["id3", *row[1:8]], None, *row[9:])], schemas.SCHEMAS["resource_version"])
     df.repartition(3).write.parquet(source)
+    held = []
     for checkpoint in ("c1", "c2"):
         changes.append_changes(changes.stream_table(spark, source, "resource_version"), log, str(tmp_path / checkpoint))
-    assert [(r["resource_id"], r["sha256"]) for r in spark.read.parquet(log).collect()] == [("resource_id", "ab")]
+        held.append(spark.read.parquet(log).count())
+        assert [(r["resource_id"], r["sha256"], r["observed_at"]) for r in changes.first_seen(spark, log).collect()] == [("resource_id", "ab", datetime(2025, 1, 1))]
+    assert held[0] == held[1]
+
+
+def test_an_earlier_sight_that_comes_late_is_kept(spark, tmp_path):
+    source, log = tmp_path / "in", str(tmp_path / "log")
+    for n, day in enumerate((5, 3, 9)):
+        row = (f"v{n}", "r", "run", datetime(2025, 1, day), "new", 200, "t", 1, "ab", None, None, None, None)
+        spark.createDataFrame([row], schemas.SCHEMAS["resource_version"]).coalesce(1).write.mode("append").parquet(str(source))
+        changes.append_changes(changes.stream_table(spark, str(source), "resource_version"), log, str(tmp_path / "state"))
+    assert [(r["observed_at"], r["id"]) for r in changes.first_seen(spark, log).collect()] == [(datetime(2025, 1, 3), "v1")]
+    assert spark.read.parquet(log).count() == 2
 
 
 def test_windowed_stream_equals_batch(spark, tmp_path):
