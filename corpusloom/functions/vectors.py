@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -14,6 +15,7 @@ from corpusloom.config import DEFAULT
 _OFFSET, _PRIME = 0x811C9DC5, 0x01000193  # fixed values of the 32-bit FNV-1a hash
 
 
+@functools.lru_cache(1 << 16)
 def _fnv1a(token: str) -> int:
     h = _OFFSET
     units = token.encode("utf-16-le", "surrogatepass")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.session import materialize
-from corpusloom.sources.blobs import put_if_absent
+from corpusloom.sources.blobs import listing, put_if_absent
 
 #: Keys of an older layout, which are never published.
 LOCAL_PREFIX = "local/"
@@ -49,10 +49,8 @@ def push(blob: DataFrame, bodies: DataFrame, remote_path: str, as_of: datetime,
 
     A blob is marked only once its body is there. With ``dry_run`` nothing is copied or marked. Running again copies nothing.
     """
-    spark = blob.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(remote_path)
-    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    remote = spark.read.parquet(remote_path).select("sha256") if there else bodies.select("sha256").limit(0)
+    held_there = listing(blob.sparkSession, remote_path)
+    remote = bodies.select("sha256").limit(0) if held_there is None else held_there
     plan = materialize(push_plan(blob, bodies.select("sha256"), remote))
     if dry_run:
         return plan, blob

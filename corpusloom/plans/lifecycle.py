@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import html, urls
 from corpusloom.operators import answer, derive, ingest, legacy, publish, readmodels, retrieve, runs
+from corpusloom.operators import links as link_ops
 from corpusloom.plans.dashboard import _BLOB, _NOW, AS_OF
 from corpusloom.plans.pipeline import _CUT, _HTML, CUT
 from corpusloom.plans.retrieval import _documents, _questions
@@ -91,6 +92,11 @@ def ingest_again(spark, folder):
     return again.groupBy("outcome", "change").agg(F.count("*").alias("n")).where("change in ('new', 'changed', 'probed')")
 
 
+def hub_pages(spark, folder):
+    """Pages by the number of different URLs they link to."""
+    return link_ops.out_degree(_ingested(spark, folder).link)
+
+
 def not_fetched(spark, folder):
     r = table(spark, folder, "resource")
     return ingest.not_fetched(r.select("url"), r)
@@ -296,7 +302,7 @@ def legacy_terms(spark, folder):
 
 
 _NAMED = [
-    ingest_outcomes, ingest_estimate, ingest_size_limit, ingest_versions, ingest_resources, ingest_blobs, ingest_links, ingest_enqueued, ingest_events, ingest_counters, ingest_again, not_fetched, sitemap_seeded, core_coverage, sitemap_detect,
+    ingest_outcomes, ingest_estimate, ingest_size_limit, ingest_versions, ingest_resources, ingest_blobs, ingest_links, ingest_enqueued, ingest_events, ingest_counters, ingest_again, hub_pages, not_fetched, sitemap_seeded, core_coverage, sitemap_detect,
     priority_backfill, resource_lookup, extract_bodies, extract_due, text_upsert, embed_chunks, blob_unpublished, blob_push, blob_stamped, blob_located, blob_view, cascade_delete, run_next, run_claimed, run_reaped, run_schedule, run_chip, run_pace,
     run_ticks, worker_tallies, run_counters, chunk_search, bm25_from_index, search_reply, cited_sources, prompt_messages, legacy_files, legacy_due, legacy_needs_ocr, legacy_terms,
 ]
@@ -351,6 +357,7 @@ def oracle_sql():
         "ingest_counters": f"""with {base} select count(*) as requests_made, count(*) filter (where outcome = 'page') as pages, count(*) filter (where outcome = 'document') as documents, count(*) filter (where outcome in ('page', 'document')) as fetched, count(*) filter (where change = 'new') as new_count,
             count(*) filter (where change = 'changed') as changed_count, count(*) filter (where change = 'unchanged' or outcome = 'touched') as unchanged_count, count(*) filter (where outcome = 'gone') as gone_count, count(*) filter (where outcome in ('gone', 'failed')) as error_count from c""",
         "ingest_again": "select ''::varchar as outcome, ''::varchar as change, 0::bigint as n where false",
+        "hub_pages": f"with {edges} select from_resource_id, count(distinct to_url) as links from t group by 1",
         "not_fetched": "select url from resource where last_fetched_at is null",
         "sitemap_seeded": f"""select url, case when kind = 'page' then 0 when first_seen_at < {_CUT} then priority end as priority, epoch_ms(case when first_seen_at >= {_CUT} then {_NOW} when kind = 'page' and {modified} > coalesce(last_changed_at at time zone 'UTC', timestamp '1970-01-01') then {_NOW} else next_fetch_at end) as next_ms
             from resource where kind = 'page' or first_seen_at < {_CUT}""",

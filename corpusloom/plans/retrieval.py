@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import DEFAULT
 from corpusloom.functions import text, vectors
 from corpusloom.operators import answer, retrieve
-from corpusloom.session import table
+from corpusloom.session import materialize, maybe_broadcast, table
 
 # Questions to the municipal documents: (id, text, expected mode).
 QUESTIONS = [
@@ -80,10 +80,10 @@ def bm25_top_k(spark, folder):
 
 
 def _covered(spark, folder):
-    asked = _questions(spark).select("query_id", F.explode(text.content_words(F.col("text"))).alias("word"))
+    asked = materialize(_questions(spark).select("query_id", F.explode(text.content_words(F.col("text"))).alias("word")))
     n = asked.groupBy("query_id").agg(F.count("*").alias("n"))
-    held = _documents(spark, folder).select("id", F.explode(text.content_words(F.col("text"))).alias("word")).join(F.broadcast(asked), "word")  # the few words of the questions
-    return held.groupBy("query_id", "id").agg(F.count("*").alias("hit")).join(F.broadcast(n), "query_id").select("query_id", "id", F.round(F.col("hit") / F.col("n"), 6).alias("score"))
+    held = _documents(spark, folder).select("id", F.explode(text.content_words(F.col("text"))).alias("word")).join(maybe_broadcast(asked), "word")
+    return held.groupBy("query_id", "id").agg(F.count("*").alias("hit")).join(maybe_broadcast(n), "query_id").select("query_id", "id", F.round(F.col("hit") / F.col("n"), 6).alias("score"))
 
 
 def _covering(spark, folder, k):

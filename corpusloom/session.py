@@ -59,15 +59,31 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(target)
 
 
+_MADE: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the intermediate tables written so far, for a long-lived session between jobs; how many there were.
+
+    Results that still read them must have been written before.
+    """
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Cuts the lineage with a copy that survives lost executors, and keeps column pruning and filter pushdown for its
-    readers. The JVM removes the folder when it ends.
+    readers. The JVM removes the folder when it ends, :func:`release` before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
     jvm = spark._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)

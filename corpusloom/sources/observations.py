@@ -73,16 +73,16 @@ def markdown_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 class _Part(InputPartition):
-    def __init__(self, url: str) -> None:
-        self.url = url
+    def __init__(self, urls: list[str]) -> None:
+        self.urls = urls
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, urls: list[str]) -> None:
-        self.urls = urls
+    def __init__(self, urls: list[str], each: int) -> None:
+        self.urls, self.each = urls, each
 
     def partitions(self):
-        return [_Part(u) for u in self.urls]
+        return [_Part(self.urls[k : k + self.each]) for k in range(0, len(self.urls), self.each)]
 
     def read(self, partition):
         import urllib.error
@@ -95,12 +95,13 @@ class _Reader(DataSourceReader):
             except urllib.error.HTTPError as reply:
                 return reply.code, dict(reply.headers), reply.read()
 
-        status, headers, body = fetch_politely(get, partition.url, {})
-        yield partition.url, status, {k.lower(): v for k, v in headers.items()}.get("content-type"), body.decode("utf-8", "replace")
+        for url in partition.urls:
+            status, headers, body = fetch_politely(get, url, {})
+            yield url, status, {k.lower(): v for k, v in headers.items()}.get("content-type"), body.decode("utf-8", "replace")
 
 
 class HttpSource(DataSource):
-    """``spark.read.format("http_pages").option("urls", "u1 u2")``: one partition a URL."""
+    """``spark.read.format("http_pages").option("urls", "u1 u2")``: ``each`` (100) URLs a partition."""
 
     @classmethod
     def name(cls) -> str:
@@ -110,4 +111,4 @@ class HttpSource(DataSource):
         return "url string, status int, content_type string, body string"
 
     def reader(self, schema):
-        return _Reader(self.options.get("urls", "").split())
+        return _Reader(self.options.get("urls", "").split(), max(1, int(self.options.get("each", "100"))))

@@ -126,6 +126,19 @@ def test_an_earlier_sight_that_comes_late_is_kept(spark, tmp_path):
     assert spark.read.parquet(log).count() == 2
 
 
+def test_intermediates_can_be_released(spark, tmp_path):
+    from corpusloom import session
+
+    kept = session.materialize(spark.range(3))
+    assert kept.count() == 3 and session.release(spark) >= 1 and session.release(spark) == 0
+    wide = spark.range(10).selectExpr("repeat('x', 100) as s", "array(id, id) as a")
+    assert "ResolvedHint" in session.maybe_broadcast(wide)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in session.maybe_broadcast(wide, size=500)._jdf.queryExecution().analyzed().toString()
+    objects = spark.createDataFrame([("k", "b", "u", "t", "page", None), ("l", None, "u", "t", "page", "blank")], "key string, body string, url string, title string, kind string, skip_reason string")
+    export.write_objects(objects, str(tmp_path / "objects"))
+    assert [(r["key"], r["metadata"]["kind"]) for r in spark.read.parquet(str(tmp_path / "objects")).collect()] == [("k", "page")]
+
+
 def test_windowed_stream_equals_batch(spark, tmp_path):
     path = str(tmp_path / "events")
     rows = [(datetime(2025, 1, d, h), "a" if h % 2 else "b", float(h), d) for d in (1, 2) for h in range(0, 24, 3)]
