@@ -10,7 +10,7 @@ from corpusloom.config import DEFAULT
 from corpusloom.functions import chunking, html, text, urls
 from corpusloom.operators import export, frontier, links, manifest, readmodels
 from corpusloom.plans.dashboard import _BLOB, _NOW, _RV, AS_OF
-from corpusloom.session import materialize, maybe_broadcast, table
+from corpusloom.session import materialize, maybe_broadcast, spread, table
 from corpusloom.sources import blobs, robots
 
 #: Of two snapshots of one log, the older one holds what was seen before this time.
@@ -176,7 +176,7 @@ def clean_text(spark, folder):
 
 def content_density(spark, folder):
     """One ratio a document; whether it is boilerplate follows from it."""
-    rated = table(spark, folder, "documents").select("doc_id", text.stopword_ratio(F.col("text")).alias("ratio"))
+    rated = spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", text.stopword_ratio(F.col("text")).alias("ratio"))
     return rated.select("doc_id", F.round("ratio", 6).alias("ratio"), (F.col("ratio") < DEFAULT.boilerplate_floor).alias("boilerplate"))
 
 
@@ -187,11 +187,11 @@ def extraction_status(spark, folder):
 
 
 def chunk_text(spark, folder):
-    return chunking.chunk_table(table(spark, folder, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "piece_index", "char_start", "char_end")
+    return chunking.chunk_table(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text").select(F.col("key").alias("doc_id"), "piece_index", "char_start", "char_end")
 
 
 def chunk_markdown(spark, folder):
-    return text.markdown_chunk_table(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+    return text.markdown_chunk_table(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
 def chunk_checked(spark, folder):

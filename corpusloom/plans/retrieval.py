@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import DEFAULT
 from corpusloom.functions import text, vectors
 from corpusloom.operators import answer, retrieve
-from corpusloom.session import materialize, maybe_broadcast, table
+from corpusloom.session import materialize, maybe_broadcast, spread, table
 
 # Questions to the municipal documents: (id, text, expected mode).
 QUESTIONS = [
@@ -34,7 +34,7 @@ ANSWERS = [
 
 
 def _documents(spark, folder):
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def _questions(spark):

@@ -115,6 +115,12 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROAD
     return F.broadcast(df) if n <= rows and width <= size else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a scan, in as many partitions as there are cores, where its files give fewer: for costly work on a few files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the test tables as a DataFrame."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
