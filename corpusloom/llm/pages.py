@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize, maybe_broadcast
+from corpusloom.session import materialize, maybe_broadcast, spread
 
 #: A class of white space for Java's regular expressions, no-break spaces among it.
 JAVA_SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
@@ -20,7 +20,7 @@ def texts_of(resource: DataFrame, resource_text: DataFrame, kind: str | None = N
     ids = resource.where(F.col("host").isNotNull() & (F.lit(True) if kind is None else F.col("kind") == kind))
     ids = ids.select(F.col("id").alias("resource_id"), "host", "kind", F.to_date(F.coalesce("last_changed_at", "first_seen_at")).alias("day")).dropDuplicates(["resource_id"])
     texts = resource_text.where((F.col("status") == "ok") & F.col("text").isNotNull()).select("resource_id", "text")
-    return texts.join(maybe_broadcast(ids), "resource_id")
+    return spread(texts).join(maybe_broadcast(ids), "resource_id")
 
 
 def ok_texts(resource: DataFrame, resource_text: DataFrame, kind: str | None = None) -> DataFrame:

@@ -6,13 +6,17 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import boilerplate, lines, packing, pages, pieces, reading, residue, scans, tokens, vectors
 from corpusloom.operators.incremental import WHITE_SPACE
-from corpusloom.session import materialize, table
+from corpusloom.session import materialize, spread, table
 
 
 def _texts(spark, folder, kind=None):
     return pages.ok_texts(table(spark, folder, "resource"), table(spark, folder, "resource_text"), kind)
 
 
+def _documents(spark, folder, *columns):
+    return spread(table(spark, folder, "documents").select("doc_id", "text", *columns))
+
+
 def _judged(spark, folder, kind):
     """The documents and the verdict on each."""
     found = pages.texts_of(table(spark, folder, "resource"), table(spark, folder, "resource_text"), kind)
@@ -37,11 +41,11 @@ def p4_found(spark, folder):
 
 
 def p3_found(spark, folder):
-    return pieces.window_pieces(table(spark, folder, "resource_text"))
+    return pieces.window_pieces(spread(table(spark, folder, "resource_text")))
 
 
 def p3_content_pieces(spark, folder):
-    return pieces.content_pieces(table(spark, folder, "resource_text"))
+    return pieces.content_pieces(spread(table(spark, folder, "resource_text")))
 
 
 def _pages(spark, folder):
@@ -78,21 +82,21 @@ def p7_paragraphs(spark, folder):
 
 
 def p8_ids(spark, folder):
-    return tokens.token_ids(table(spark, folder, "documents"), "doc_id", "text")
+    return tokens.token_ids(_documents(spark, folder), "doc_id", "text")
 
 
 def p8_decoded(spark, folder):
     """Every text through a deep tree of ids and back: its hash."""
-    ids = tokens.token_ids(table(spark, folder, "documents"), "doc_id", "text", leaf=256)
+    ids = tokens.token_ids(_documents(spark, folder), "doc_id", "text", leaf=256)
     return tokens.decoded(ids, "doc_id", "ids").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
 def p9_containers(spark, folder):
-    return packing.pack(materialize(packing.items(table(spark, folder, "documents"))))
+    return packing.pack(materialize(packing.items(_documents(spark, folder))))
 
 
 def p10_levels(spark, folder):
-    documents = table(spark, folder, "documents")
+    documents = _documents(spark, folder, "lang")
     return reading.score(documents, *reading.fit(documents, table(spark, folder, "reading_label")))
 
 
