@@ -21,7 +21,7 @@ def stream_table(spark: SparkSession, path: str, name: str, files: int = DEFAULT
 
 
 #: Partitions of the log of contents by their key.
-LOG_PARTS = 64
+LOG_PARTS = 16
 _LOG = "resource_id string, sha256 string, observed_at timestamp, id string, part int"
 
 
@@ -43,7 +43,7 @@ def append_changes(stream: DataFrame, log: str, checkpoint: str) -> None:
         have = spark.read.schema(_LOG).parquet(log).where(F.col("part").isin(*parts)).select("resource_id", "sha256", F.col("observed_at").alias("had_at")) if parts else None
         if have is not None:
             known = [first["resource_id"] == have["resource_id"], first["sha256"] == have["sha256"], have["had_at"] <= first["observed_at"]]
-            first.join(have, known, "left_anti").write.mode("append").partitionBy("part").parquet(log)
+            first.join(have, known, "left_anti").repartition("part").write.mode("append").partitionBy("part").parquet(log)
         first.unpersist()
 
     spark.createDataFrame([], _LOG).write.mode("ignore").partitionBy("part").parquet(log)
