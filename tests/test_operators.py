@@ -139,6 +139,18 @@ def test_intermediates_can_be_released(spark, tmp_path):
     assert [(r["key"], r["metadata"]["kind"]) for r in spark.read.parquet(str(tmp_path / "objects")).collect()] == [("k", "page")]
 
 
+def test_hybrid_search_fuses_words_and_vectors(spark, tmp_path):
+    documents = spark.createDataFrame([(1, "the mill road is closed", [1.0, 0.0]), (2, "a mill", [0.0, 1.0]), (3, "nothing of it", [0.9, 0.1]), (4, None, None)], "id int, text string, embedding array<float>")
+    asked = spark.createDataFrame([(7, "mill road", [1.0, 0.0])], "query_id int, text string, embedding array<float>")
+    lexical = retrieve.bm25(documents.select("id", "text"), asked.select("query_id", "text"), 50)
+    cosine = retrieve.vector_top_k(documents.select("id", "embedding"), asked.select("query_id", "embedding"), 50)
+    got = {r["id"]: (r["rank"], r["text"]) for r in retrieve.hybrid(lexical, cosine, documents.select("id", "text"), 2).collect()}
+    assert got == {1: (1, "the mill road is closed"), 2: (2, "a mill")}
+    path = str(tmp_path / "index")
+    retrieve.build_index(documents.select("id", "text"), path)
+    assert sorted(map(tuple, retrieve.bm25_from(spark, path, asked, 50).collect())) == sorted(map(tuple, lexical.collect()))
+
+
 def test_windowed_stream_equals_batch(spark, tmp_path):
     path = str(tmp_path / "events")
     rows = [(datetime(2025, 1, d, h), "a" if h % 2 else "b", float(h), d) for d in (1, 2) for h in range(0, 24, 3)]
